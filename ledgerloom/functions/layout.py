@@ -37,21 +37,25 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def box_from_polygon(polygon: Column, text: Column, ord_: Column) -> Column:
     """Bounding box of a polygon, null for blank text or too few coordinates."""
-    xs = F.transform(polygon, lambda p: F.get(p, F.lit(0)))
-    ys = F.transform(polygon, lambda p: F.get(p, F.lit(1)))
     coordinates = F.aggregate(polygon, F.lit(0), lambda n, p: n + F.size(p))
     clean = strip(text)
-    return F.when(
-        (clean != "") & (coordinates >= 4),
-        F.struct(
+
+    def box(axes: Column) -> Column:
+        xs, ys = axes["xs"], axes["ys"]
+        return F.struct(
             F.array_min(ys).alias("top"),
             F.array_min(xs).alias("left"),
             ord_.cast("int").alias("ord"),
             F.array_max(xs).alias("right"),
             F.greatest(F.lit(1.0), F.array_max(ys) - F.array_min(ys)).alias("height"),
             clean.alias("text"),
-        ),
+        )
+
+    axes = F.struct(
+        F.transform(polygon, lambda p: F.get(p, F.lit(0))).alias("xs"),
+        F.transform(polygon, lambda p: F.get(p, F.lit(1))).alias("ys"),
     )
+    return F.when((clean != "") & (coordinates >= 4), let(axes, box))
 
 
 def median_height(boxes: Column) -> Column:

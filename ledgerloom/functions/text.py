@@ -17,12 +17,15 @@ WHITESPACE = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-_EXOTIC = r"\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-WS_CLASS = r"\t-\r" + _EXOTIC
-WS_NOT_NEWLINE = r"\t\x0b-\r" + _EXOTIC
+# The same as a regex class.
+WHITESPACE_CLASS = (
+    r"[\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+)
+# What is left of it after NFKC, without tab, blank and line ends.
+_RARE = r"\x0b\f\x1c\x1d\x1e\x1f\x85\u1680\u2028\u2029"
 
 # Letters, digits and signs that NFKC leaves alone and that never combine with
-# a neighbour. A text made only of these needs no normalisation.
+# a neighbour. A text made only of these and ASCII needs no normalisation.
 NFKC_STABLE = (
     r"\x00-\x9f\u00a1-\u00a7\u00a9\u00ab-\u00ae\u00b0\u00b1\u00b6\u00b7\u00bb\u00bf-\u0131"
     r"\u0391-\u03a1\u03a3-\u03c9"
@@ -40,7 +43,7 @@ def strip(column: Column) -> Column:
 
 
 def drop_whitespace(column: Column) -> Column:
-    return F.regexp_replace(column, f"[{WS_CLASS}]+", "")
+    return F.translate(column, WHITESPACE, "")
 
 
 @F.pandas_udf(StringType())
@@ -54,7 +57,7 @@ def nfkc(column: Column) -> Column:
     Spark has no such function. Only texts holding a character that could
     change travel to Python; every other row sends a null.
     """
-    unstable = F.when(column.rlike(f"[^{NFKC_STABLE}]"), column)
+    unstable = F.when(column.rlike(rf"[[^\x00-\x7f]&&[^{NFKC_STABLE}]]"), column)
     return F.coalesce(_nfkc_values(unstable), column)
 
 
@@ -62,15 +65,17 @@ def compact(column: Column) -> Column:
     """One newline between rows, one blank inside them, nothing around them.
 
     Equal to normalising line ends, squeezing tabs and blanks, stripping each
-    line and dropping the empty ones, but as three linear passes that stay in
-    generated code.
+    line and dropping the empty ones, but as linear passes over the whole text
+    that stay in generated code.
     """
-    text = F.regexp_replace(nfkc(column), r"\r\n?", "\n")
-    text = F.regexp_replace(text, r"[\t ]+", " ")
-    # The look-behind lets a run of blanks be tried once, not once per blank.
-    text = F.regexp_replace(
-        text, f"(?<![{WS_NOT_NEWLINE}])[{WS_NOT_NEWLINE}]*+\\n[{WS_CLASS}]*+", "\n"
-    )
+    # A line end with all whitespace behind it.
+    text = F.regexp_replace(nfkc(column), rf"[\r\n][\t\r\n {_RARE}]*+", "\n")
+    # Runs of tabs and blanks; a single blank is no match and costs nothing.
+    text = F.regexp_replace(text, r"\t[\t ]*+| [\t ]++", " ")
+    # Whitespace before a line end: runs with rare characters, then the blank
+    # that may be left. The look-behind tries a long run once.
+    rare_run = rf"[{_RARE}](?<![{_RARE}] ?[{_RARE}])[ {_RARE}]*+\n"
+    text = F.replace(F.regexp_replace(text, rare_run, "\n"), F.lit(" \n"), F.lit("\n"))
     return strip(text)
 
 
@@ -118,7 +123,7 @@ def casefold(column: Column) -> Column:
     """
     lowered = F.lower(column)
     simple = F.translate(F.replace(lowered, F.lit("\u00df"), F.lit("ss")), "\u03c2", "\u03c3")
-    special = F.when(column.rlike(_casefold_class()), column)
+    special = F.when(column.rlike(rf"[[^\x00-\x7f]&&{_casefold_class()}]"), column)
     return F.coalesce(_casefold_values(special), simple)
 
 

@@ -128,15 +128,24 @@ def _first_match(text: Column, patterns: tuple[str, ...]) -> Column:
     return F.coalesce(*[non_empty(F.regexp_extract(text, p, 1)) for p in patterns])
 
 
-def _value(text: Column, rule: FieldRule) -> Column:
-    found = strip(_first_match(text, rule.patterns))
-    if rule.kind == "money":
+def _value(found: Column, kind: str) -> Column:
+    if kind == "money":
         return clean_money(found)
-    if rule.kind == "date":
+    if kind == "date":
         return F.coalesce(normalise_printed_date(found), found)
     return found
 
 
 def extract_fields(texts: DataFrame, country: str, text: str = "text") -> DataFrame:
-    """Adds one column per field of the country's rules."""
-    return texts.withColumns({r.name: _value(F.col(text), r) for r in RULES[country]})
+    """Adds one column per field of the country's rules.
+
+    Matching and conversion are separate projections, so each pattern runs
+    once however often its result is used.
+    """
+    rules = RULES[country]
+    matched = texts.withColumns(
+        {r.name: strip(_first_match(F.col(text), r.patterns)) for r in rules}
+    )
+    return matched.withColumns(
+        {r.name: _value(F.col(r.name), r.kind) for r in rules if r.kind != "text"}
+    )

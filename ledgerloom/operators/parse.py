@@ -7,20 +7,17 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.errors import MODEL_ERROR, error, no_error
 from ledgerloom.functions.money import MONEY_SQL, clean_money
-from ledgerloom.functions.text import WS_CLASS, strip
+from ledgerloom.functions.text import WHITESPACE_CLASS, strip
 from ledgerloom.schemas import COUNTRIES, TOKEN_USAGE_SQL, RecordSchema
 
 _ENVELOPE = (
     "message struct<content:string>, prompt_eval_count bigint, eval_count bigint, "
     "total_duration bigint, _broken string"
 )
-_NUMBER = r"\A(?:BIGINT|DOUBLE|FLOAT|DECIMAL.*)\z"
-
-
 def clean_json(content: Column) -> Column:
     """The JSON object of a reply: fenced, else first to last brace, else all."""
     text = strip(content)
-    ws = f"[{WS_CLASS}]*"
+    ws = f"{WHITESPACE_CLASS}*"
     fenced = F.regexp_extract(text, rf"(?s)```(?:json)?{ws}(\{{.*?\}}){ws}```", 1)
     braces = F.regexp_extract(text, r"(?s)\{.*\}", 0)
     return strip(
@@ -28,99 +25,123 @@ def clean_json(content: Column) -> Column:
     )
 
 
-def _type_of(value: Column, path: str) -> Column:
-    """SQL type of a member: null when absent, ``VOID`` for a JSON null."""
-    return F.schema_of_variant(F.try_variant_get(value, path, "variant"))
+def _raw_sql(schema: RecordSchema) -> str:
+    """Struct with every field still a variant: null when absent."""
+    return f"struct<{','.join(f'{name}:variant' for name in schema.order)}>"
+
+
+def _as(value: Column, sql_type: str) -> Column:
+    return F.try_variant_get(value, "$", sql_type)
 
 
 def _text_field(value: Column, name: str, schema: RecordSchema) -> tuple[Column, Column]:
-    path = f"$.{name}"
-    kind = _type_of(value, path)
-    text = F.try_variant_get(value, path, "string")
+    """Value and, when its type is wrong, the field's name."""
+    kind = F.schema_of_variant(value)
+    text = _as(value, "string")
     wrong = ~kind.isin("STRING", "VOID")
     if name in schema.text_or_int:
-        number = F.try_variant_get(value, path, "decimal(38,18)")
-        is_whole = kind.rlike(_NUMBER) & (number == F.floor(number))
+        number = _as(value, "decimal(38,18)")
         is_flag = kind == "BOOLEAN"
+        is_whole = (kind != "STRING") & ~is_flag & (number == F.floor(number))
         text = (
             F.when(is_whole, F.floor(number).cast("string"))
-            .when(is_flag, F.try_variant_get(value, path, "boolean").cast("int").cast("string"))
+            .when(is_flag, _as(value, "boolean").cast("int").cast("string"))
             .otherwise(text)
         )
         wrong = wrong & ~F.coalesce(is_whole | is_flag, F.lit(False))
     if name in schema.defaults:
-        text = F.when(kind.isNull(), F.lit(schema.defaults[name])).otherwise(text)
+        text = F.when(value.isNull(), F.lit(schema.defaults[name])).otherwise(text)
     return text, F.when(wrong, F.lit(name))
 
 
-def _money_field(value: Column, name: str) -> Column:
-    """A JSON number is taken as it is, a JSON string is cleaned, all else is null."""
-    path = f"$.{name}"
-    kind = _type_of(value, path)
-    return F.when(
-        kind == "STRING", clean_money(F.try_variant_get(value, path, "string"))
-    ).when(kind.rlike(_NUMBER), F.try_variant_get(value, path, MONEY_SQL))
+def _money_field(value: Column, name: str) -> tuple[Column, Column]:
+    """A JSON number is taken as it is, a JSON string is cleaned, all else is null.
+
+    Only a number too large for a double, which reads as infinity, is wrong.
+    """
+    kind = F.schema_of_variant(value)
+    amount = F.when(kind == "STRING", clean_money(_as(value, "string"))).when(
+        kind != "BOOLEAN", _as(value, MONEY_SQL)
+    )
+    infinite = (kind == "DOUBLE") & (F.abs(_as(value, "double")) == float("inf"))
+    return amount, F.when(infinite, F.lit(name))
 
 
-def _record(value: Column, schema: RecordSchema) -> Column:
-    """Struct of ``data`` and the ``problems`` that make it unacceptable."""
-    fields: list[Column] = []
+def _fields(raw: Column, schema: RecordSchema) -> tuple[dict[str, Column], list[Column]]:
+    """Values and type problems of the fields that are no lists."""
+    values: dict[str, Column] = {}
     problems: list[Column] = []
     for name in schema.order:
         if name in schema.lists:
-            rows, row_problems = _list_field(value, name, schema.lists[name])
-            fields.append(rows.alias(name))
-            problems.append(row_problems)
-        elif name in schema.money:
-            fields.append(_money_field(value, name).alias(name))
+            continue
+        if name in schema.money:
+            value, problem = _money_field(raw[name], name)
         else:
-            text, problem = _text_field(value, name, schema)
-            fields.append(text.alias(name))
-            problems.append(F.array(problem))
-    return F.struct(
-        F.struct(*fields).alias("data"),
-        F.array_compact(F.concat(*problems)).alias("problems"),
-    )
+            value, problem = _text_field(raw[name], name, schema)
+        values[name] = value.alias(name)
+        problems.append(problem)
+    return values, problems
 
 
-def _list_field(value: Column, name: str, schema: RecordSchema) -> tuple[Column, Column]:
-    path = f"$.{name}"
-    kind = _type_of(value, path)
-    elements = F.try_variant_get(value, path, "array<variant>")
-    parsed = F.transform(elements, lambda item: _record(item, schema))
-    empty_rows = F.array().cast(f"array<{schema.sql()}>")
-    rows = F.coalesce(F.transform(parsed, lambda p: p["data"]), empty_rows)
+def _parsed_list(value: Column, name: str, schema: RecordSchema) -> Column:
+    """Elements of a list as ``struct<data, problems>``, null if it is no list."""
+    raw_rows = F.transform(_as(value, "array<variant>"), lambda v: _as(v, _raw_sql(schema)))
 
-    def element_problems(item: Column, i: Column) -> Column:
+    def element(raw: Column, i: Column) -> Column:
         place = F.concat(F.lit(f"{name}."), i.cast("string"))
-        is_object = F.schema_of_variant(item).startswith("OBJECT")
+        values, problems = _fields(raw, schema)
         inner = F.transform(
-            _record(item, schema)["problems"], lambda p: F.concat(place, F.lit("."), p)
+            F.array_compact(F.array(*problems)), lambda p: F.concat(place, F.lit("."), p)
+        )
+        return F.struct(
+            F.struct(*values.values()).alias("data"),
+            # An element that is no object has no raw struct.
+            F.when(raw.isNotNull(), inner).otherwise(F.array(place)).alias("problems"),
         )
-        return F.when(F.coalesce(is_object, F.lit(False)), inner).otherwise(F.array(place))
 
-    wrong_rows = F.flatten(F.transform(elements, element_problems))
-    problems = F.when(
-        kind.isNotNull() & ~F.coalesce(kind.startswith("ARRAY"), F.lit(False)),
-        F.array(F.lit(name)),
-    ).otherwise(F.coalesce(wrong_rows, F.array().cast("array<string>")))
-    return rows, problems
+    return F.transform(raw_rows, element)
 
 
 def read_records(rows: DataFrame, json: str, schema: RecordSchema) -> DataFrame:
     """Adds ``data`` and ``problems``; the JSON text is parsed once per row.
 
     ``problems`` lists the paths that break the strict types; a text that is
-    no JSON object has the single problem ``$``.
+    no JSON object has the single problem ``$``. Each step is a projection of
+    its own, so lists and problems are computed once and used twice.
     """
-    value = rows.withColumn("_value", F.try_parse_json(F.col(json)))
-    typed = value.withColumn("_type", F.schema_of_variant("_value"))
-    is_object = F.coalesce(F.col("_type").startswith("OBJECT"), F.lit(False))
-    parsed = typed.withColumn("_record", F.when(is_object, _record(F.col("_value"), schema)))
-    problems = F.coalesce(F.col("_record.problems"), F.array(F.lit("$")))
-    return parsed.withColumns(
-        {"problems": problems, "data": F.when(F.size(problems) == 0, F.col("_record.data"))}
-    ).drop("_value", "_type", "_record")
+    # The parser stops after one value. With a mark behind the text, anything
+    # that follows the object breaks the JSON or hides the mark.
+    marked = F.concat(F.lit('{"record":'), F.col(json), F.lit(',"__end__":true}'))
+    root = _as(F.try_parse_json(marked), f"struct<record:{_raw_sql(schema)},__end__:boolean>")
+    raw = F.col("_raw")
+    lists = {name: f"_list_{name}" for name in schema.lists}
+    parsed = (
+        rows.withColumn("_root", root)
+        .withColumn("_raw", F.when(F.col("_root.__end__"), F.col("_root.record")))
+        .withColumns({c: _parsed_list(raw[n], n, schema.lists[n]) for n, c in lists.items()})
+    )
+
+    values, field_problems = _fields(raw, schema)
+    no_problems = F.array().cast("array<string>")
+    found = [F.array_compact(F.array(*field_problems))]
+    for name, column in lists.items():
+        found.append(
+            F.when(
+                F.col(column).isNotNull(),
+                F.flatten(F.transform(column, lambda e: e["problems"])),
+            )
+            .when(raw[name].isNotNull(), F.array(F.lit(name)))
+            .otherwise(no_problems)
+        )
+        empty = F.array().cast(f"array<{schema.lists[name].sql()}>")
+        values[name] = F.coalesce(F.transform(column, lambda e: e["data"]), empty).alias(name)
+    problems = F.when(raw.isNotNull(), F.concat(*found)).otherwise(F.array(F.lit("$")))
+    data = F.struct(*[values[n] for n in schema.order])
+    return (
+        parsed.withColumn("problems", problems)
+        .withColumn("data", F.when(F.size("problems") == 0, data))
+        .drop("_root", "_raw", *lists.values())
+    )
 
 
 def read_envelopes(responses: DataFrame, model: str = "gemma2:2b") -> DataFrame:

@@ -28,7 +28,7 @@ from ledgerloom.operators import (
 )
 from ledgerloom.plans import derived, extract
 from ledgerloom.session import configure, new_work_path
-from ledgerloom.sources import hooks, ocr, payloads
+from ledgerloom.sources import hooks, ocr, payloads, sinks
 from ledgerloom.streaming import activity as activity_stream
 from ledgerloom.streaming import batches as batch_stream
 
@@ -668,7 +668,7 @@ def stream_open_requests(spark, sf_dir):
     activity_stream.start_request_states(
         stream, path, new_work_path(spark, "requests-checkpoint")
     ).awaitTermination()
-    return activity_stream.latest_states(spark, path).select(
+    return activity_stream.request_states(spark, path).select(
         "token", "request_id", "is_open",
         times.iso_timestamp(F.col("started_at")).alias("started_at"),
     )
@@ -708,17 +708,22 @@ def model_replies(spark, sf_dir):
         "cast(doc_id as string) as doc_key",
         "case when doc_id % 2 = 0 then 'uae' else 'usa' end as country", "text",
     )
-    prepared = prepare.prepare_texts(documents).filter(F.col("error").isNull())
-    replies = hooks.run_model(prepared, factory, {"uae": "", "usa": ""}, calls_in_flight=8)
-    parts = [
-        parse.parse_replies(replies.filter(F.col("country") == c), c).select(
-            "doc_key", "country", F.col("data.vendor_name").alias("vendor_name"),
-            to_json_number(F.col("data.net_amount")).alias("net_amount"),
-            "token_usage.output_tokens", "error.status",
+    # Prepared texts are a table between the jobs, read here per country.
+    path = new_work_path(spark, "prepared")
+    sinks.write_table(prepare.prepare_texts(documents).drop("text"), path, ("country",))
+    usable, _ = sinks.split_errors(spark.read.parquet(path))
+    parts = []
+    for country in ("uae", "usa"):
+        own = usable.filter(F.col("country") == country)
+        replies = hooks.run_model(own, factory, {}, calls_in_flight=8)
+        parts.append(
+            parse.parse_replies(replies, country).select(
+                "doc_key", "country", F.col("data.vendor_name").alias("vendor_name"),
+                to_json_number(F.col("data.net_amount")).alias("net_amount"),
+                "token_usage.output_tokens", "error.status",
+            )
         )
-        for c in ("uae", "usa")
-    ]
-    return parts[0].unionByName(parts[1])
+    return _union(parts)
 
 
 def _replied(spark, sf_dir) -> DataFrame:

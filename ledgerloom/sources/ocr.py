@@ -62,7 +62,10 @@ def flat_boxes(ocr_results: DataFrame, body: str = "body") -> DataFrame:
     parsed = read_results(ocr_results, body)
     return (
         parsed.drop("texts", "polygons", body)
-        .withColumn("box", F.explode("boxes"))
+        # The outer form keeps the optimizer from filtering on the array, which
+        # would parse every body again below the parse.
+        .withColumn("box", F.explode_outer("boxes"))
+        .filter(F.col("box").isNotNull())
         .select("*", "box.*")
         .drop("boxes", "box")
     )
@@ -89,7 +92,10 @@ def legacy_page_texts(ocr_results: DataFrame, body: str = "body") -> DataFrame:
             F.try_variant_get(item, "$[1]", "string"),
         )
         polygon = F.try_variant_get(item, "$[0]", "array<array<double>>")
-        return box_from_polygon(polygon, text, i)
+        return let(
+            F.struct(polygon.alias("polygon"), text.alias("text")),
+            lambda part: box_from_polygon(part["polygon"], part["text"], i),
+        )
 
     boxes = let(
         F.try_parse_json(F.col(body)),

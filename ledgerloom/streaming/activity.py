@@ -2,78 +2,82 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-_OUTPUT = (
+_STATE = (
     "token string, request_id string, operation string, started_at timestamp, "
-    "ended_at timestamp, is_open boolean"
+    "ended_at timestamp"
 )
-_STATE = "request_id string, operation string, started_at timestamp, ended_at timestamp"
 
 
-def request_states(events: DataFrame) -> DataFrame:
-    """Changes of request states from a stream of start and end events.
+def _merge(events: DataFrame) -> DataFrame:
+    """One row per request from rows that know its start, its end or both."""
+    return (
+        events.groupBy("token")
+        .agg(
+            F.max("request_id").alias("request_id"),
+            F.max("operation").alias("operation"),
+            F.min("started_at").alias("started_at"),
+            F.max("ended_at").alias("ended_at"),
+        )
+        .filter(F.col("started_at").isNotNull() | F.col("ended_at").isNotNull())
+    )
 
-    A finished request leaves the state at once, so the state holds open
-    requests only. Start and end may arrive in either order.
-    """
 
-    # A nested function travels by value: workers need not have this package.
-    def follow(key: tuple, batches: Iterator[pd.DataFrame],
-               state: GroupState) -> Iterator[pd.DataFrame]:
-        request_id, operation, started, ended = state.get if state.exists else (None,) * 4
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                if row.kind == "start":
-                    request_id, operation, started = row.request_id, row.operation, row.ts
-                elif row.kind == "end":
-                    ended = row.ts
-        if started is None and ended is None:
-            return
-        if started is not None and ended is not None:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((request_id, operation, started, ended))
-        if started is not None:
-            row = {
-                "token": [key[0]],
-                "request_id": [request_id],
-                "operation": [operation],
-                "started_at": pd.to_datetime([started]),
-                "ended_at": pd.to_datetime([ended]),
-                "is_open": [ended is None],
-            }
-            yield pd.DataFrame(row)
-
-    timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
-    return timed.groupBy("token").applyInPandasWithState(
-        follow, _OUTPUT, _STATE, "update", GroupStateTimeout.NoTimeout
+def _marks(events: DataFrame) -> DataFrame:
+    """Events as partial request rows."""
+    is_start, is_end = F.col("kind") == "start", F.col("kind") == "end"
+    ts = F.col("ts").cast("timestamp")
+    return events.select(
+        "token",
+        F.when(is_start, F.col("request_id")).alias("request_id"),
+        F.when(is_start, F.col("operation")).alias("operation"),
+        F.when(is_start, ts).alias("started_at"),
+        F.when(is_end, ts).alias("ended_at"),
     )
 
 
 def start_request_states(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Writes state changes per micro-batch; a repeat replaces its own folder."""
+    """Follows requests from a stream of start and end events.
+
+    Micro-batch ``n`` merges its events with the unfinished requests of
+    micro-batch ``n - 1`` and writes folder ``batch=n``, finished and
+    unfinished apart. Only unfinished requests are carried on, in either order
+    of start and end, and a repeated micro-batch rewrites its own folder.
+    """
 
-    def write(changed: DataFrame, batch_id: int) -> None:
-        changed.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    def step(new: DataFrame, batch_id: int) -> None:
+        rows = _marks(new)
+        if batch_id > 0:
+            spark = new.sparkSession
+            last = f"{path}/batch={batch_id - 1}"
+            before = spark.read.schema(f"{_STATE}, is_done boolean").parquet(last)
+            rows = rows.unionByName(before.filter(~F.col("is_done")).drop("is_done"))
+        done = F.col("started_at").isNotNull() & F.col("ended_at").isNotNull()
+        _merge(rows).withColumn("is_done", done).write.mode("overwrite").partitionBy(
+            "is_done"
+        ).parquet(f"{path}/batch={batch_id}")
 
     return (
-        request_states(events)
-        .writeStream.outputMode("update")
-        .option("checkpointLocation", checkpoint)
-        .foreachBatch(write)
+        events.writeStream.option("checkpointLocation", checkpoint)
+        .foreachBatch(step)
         .trigger(availableNow=True)
         .start()
     )
 
 
+def request_states(spark: SparkSession, path: str) -> DataFrame:
+    """Latest state of every request that has started."""
+    rows = spark.read.schema(f"{_STATE}, is_done boolean, batch bigint").parquet(path)
+    return (
+        _merge(rows)
+        .filter(F.col("started_at").isNotNull())
+        .withColumn("is_open", F.col("ended_at").isNull())
+    )
+
+
 def start_error_log(errors: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Appends error rows to the ``errors`` table."""
     return (
@@ -84,17 +88,3 @@ def start_error_log(errors: DataFrame, path: str, checkpoint: str) -> StreamingQ
         .trigger(availableNow=True)
         .start()
     )
-
-
-def latest_states(spark: SparkSession, path: str) -> DataFrame:
-    """Last known state of each request: a start only becomes an end."""
-    return (
-        spark.read.parquet(path)
-        .groupBy("token", "started_at")
-        .agg(
-            F.max("request_id").alias("request_id"),
-            F.max("operation").alias("operation"),
-            F.max("ended_at").alias("ended_at"),
-            F.min("is_open").alias("is_open"),
-        )
-    )
