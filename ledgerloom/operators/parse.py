@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.errors import MODEL_ERROR, error, no_error
 from ledgerloom.functions.money import MONEY_SQL, clean_money
 from ledgerloom.functions.text import WHITESPACE_CLASS, strip
+from ledgerloom.operators.settle import settle
 from ledgerloom.schemas import COUNTRIES, TOKEN_USAGE_SQL, RecordSchema
 
 _ENVELOPE = (
@@ -219,9 +220,10 @@ def parse_replies(responses: DataFrame, country: str, model: str = "gemma2:2b")
         "error", F.when(rejected, error(422, MODEL_ERROR, detail)).otherwise(F.col("error"))
     )
     ok = F.col("error").isNull()
-    return checked.withColumns(
+    typed = checked.withColumns(
         {
             "data": F.when(ok, F.col("data")),
             "token_usage": F.when(ok, F.col("token_usage")),
         }
     ).drop("json", "problems", "http_status", "body", "failure")
+    return settle(typed, "data", "token_usage", "error")

@@ -14,6 +14,7 @@ from ledgerloom.functions.errors import (
 from ledgerloom.functions.text import compact, token_estimate
 from ledgerloom.limits import DEFAULT, Limits
 from ledgerloom.operators.pages import compacted_document_text
+from ledgerloom.operators.settle import settle
 
 
 def text_error(length: Column, limits: Limits = DEFAULT) -> Column:
@@ -45,7 +46,8 @@ def _limited(documents: DataFrame, limits: Limits) -> DataFrame:
 def prepare_texts(documents: DataFrame, text: str = "text",
                   limits: Limits = DEFAULT) -> DataFrame:
     """Compacts whole document texts."""
-    return _limited(documents.withColumn("_compacted", compact(F.col(text))), limits)
+    compacted = documents.withColumn("_compacted", compact(F.col(text)))
+    return _limited(settle(compacted, "_compacted"), limits)
 
 
 def prepare_pages(doc_pages: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
