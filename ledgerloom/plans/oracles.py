@@ -133,6 +133,11 @@ select doc_key, case when used_ocr then 'paddleocr' else 'pymupdf' end as extrac
 from compacted
 """
 
+ORACLES["preparation_envelopes"] = f"""
+select true as success, 'req-' || doc_key as request_id, character_stored, total_pages, character_count
+from ({ORACLES["prepared_text"]}) where character_stored is not null
+"""
+
 ORACLES["text_compaction"] = f"""
 select doc_id, compacted, cast(length(compacted) as integer) as n_compacted
 from (select doc_id, {compact(d.SPACED_TEXT_NORMAL)} as compacted from documents)

@@ -106,6 +106,14 @@ def prepared_text(spark, sf_dir):
     )
 
 
+@query
+def preparation_envelopes(spark, sf_dir):
+    prepared = prepare.prepare_pages(_two_layers(spark, sf_dir)).withColumn(
+        "request_id", F.concat(F.lit("req-"), F.col("doc_key"))
+    )
+    return envelopes.preparation_envelopes(prepared)
+
+
 @query
 def text_compaction(spark, sf_dir):
     documents = table(spark, sf_dir, "documents").selectExpr(

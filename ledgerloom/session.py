@@ -22,6 +22,10 @@ _RUNTIME_SETTINGS = {
 }
 
 
+# Folders of local sessions that name none, by application.
+_LOCAL_ROOTS: dict[str, str] = {}
+
+
 def configure(spark: SparkSession) -> SparkSession:
     for key, value in _RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
@@ -35,12 +39,14 @@ def checkpoint_root(spark: SparkSession) -> str:
     driver and executors share one machine, may fall back to a new folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if root is not None:
+        return root
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL_ROOTS:
+        _LOCAL_ROOTS[application] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _LOCAL_ROOTS[application]
 
 
 def new_work_path(spark: SparkSession, purpose: str) -> str:
