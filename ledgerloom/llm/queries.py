@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import host_rules, packing, simhash, token_counts
+from ledgerloom.llm import host_rules, language_id, packing, simhash, token_counts, toxicity
 from ledgerloom.llm.common import table
 
 
@@ -17,13 +17,31 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.held_out_predictions(table(spark, sf_dir, "documents"))
+
+
 def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = host_rules.judged(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", *host_rules.MEASURES, "base_failed", "kept")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.held_out_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash, op4_packing, op7_host_rules, op10_token_counts)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op3_simhash,
+        op4_packing,
+        op5_language_id,
+        op7_host_rules,
+        op9_toxicity,
+        op10_token_counts,
+    )
+}
