@@ -5,10 +5,23 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import host_rules, language_id, packing, simhash, token_counts, toxicity
+from ledgerloom.llm import (
+    decontamination,
+    host_rules,
+    language_id,
+    packing,
+    secret_scan,
+    simhash,
+    token_counts,
+    toxicity,
+)
 from ledgerloom.llm.common import table
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.findings(table(spark, sf_dir, "documents"), secret_scan.train(spark))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -21,6 +34,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.held_out_predictions(table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = host_rules.judged(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", *host_rules.MEASURES, "base_failed", "kept")
@@ -37,9 +54,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op2_secret_scan,
         op3_simhash,
         op4_packing,
         op5_language_id,
+        op6_decontamination,
         op7_host_rules,
         op9_toxicity,
         op10_token_counts,
