@@ -6,8 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm import (
+    cross_entropy,
     decontamination,
     host_rules,
+    html_text,
     language_id,
     packing,
     secret_scan,
@@ -18,6 +20,10 @@ from ledgerloom.llm import (
 from ledgerloom.llm.common import table
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.findings(table(spark, sf_dir, "documents"), secret_scan.train(spark))
 
@@ -43,6 +49,10 @@ def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *host_rules.MEASURES, "base_failed", "kept")
 
 
+def op8_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_entropy.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.held_out_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -54,12 +64,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_html_text,
         op2_secret_scan,
         op3_simhash,
         op4_packing,
         op5_language_id,
         op6_decontamination,
         op7_host_rules,
+        op8_cross_entropy,
         op9_toxicity,
         op10_token_counts,
     )
