@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ledgerloom.session import new_work_path
 
@@ -29,15 +27,18 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, *columns: str) -> DataFrame:
-    """The named columns of ``df`` only, so that other columns never travel."""
-    return df.select(*[F.col(f"`{c}`") for c in columns])
-
-
-def map_arrow(
-    df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType
-) -> DataFrame:
-    return df.mapInArrow(function, schema)
+def set_aside(docs: DataFrame, reserved: Iterable[str]) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns of a reserved name renamed, and the names to give back."""
+    names = {c.lower() for c in docs.columns}
+    moved = {}
+    for column in docs.columns:
+        if column.lower() in {r.lower() for r in reserved}:
+            other = f"_aside_{column}"
+            while other.lower() in names:
+                other = f"_{other}"
+            names.add(other.lower())
+            moved[column] = other
+    return docs.withColumnsRenamed(moved), {other: column for column, other in moved.items()}
 
 
 def slices(batches: Iterator[pa.RecordBatch], max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import quoted, written
+from ledgerloom.llm.common import quoted, set_aside, written
 
 _SPACES = " \t\n\x0b\f\r"
 _SYMBOLS = "#*$%&|<>"
@@ -46,6 +46,13 @@ class HostRules:
 
 
 SOFT = ["symbols", "dup_lines", "word_length"]
+#: Names that this operator makes.
+RESERVED = [
+    *MEASURES,
+    *("n_lines", "base_failed", "kept", "_text", "_words", "_lines", "_runs", "_again", "_host"),
+    *(f"_{r}" for r in SOFT),
+    *(f"_rate_{r}" for r in [*SOFT, "some"]),
+]
 
 
 def _without(text: Column, characters: str) -> Column:
@@ -54,8 +61,7 @@ def _without(text: Column, characters: str) -> Column:
 
 def measured(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """``docs`` with ``MEASURES`` and ``n_lines``, counted over each whole text."""
-    taken = {*MEASURES, "n_lines", "_text", "_words", "_lines", "_runs", "_again"}
-    kept = [F.col(quoted(c)) for c in docs.columns if c not in taken]
+    kept = [F.col(quoted(c)) for c in docs.columns if c.lower() not in RESERVED]
     text = F.col("_text")
     words = F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda x: _without(x, _SPACES) != "")
@@ -167,5 +173,7 @@ def judged(
 
 
 def accepted(docs: DataFrame, rules: HostRules = HostRules()) -> DataFrame:
-    """The rows of ``docs`` that the rules keep."""
-    return judged(docs, rules, keep_text=True).where("kept").select(*[F.col(quoted(c)) for c in docs.columns])
+    """The rows of ``docs`` that the rules keep, with all columns."""
+    apart, back = set_aside(docs, RESERVED)
+    kept = judged(apart, rules, keep_text=True).where("kept")
+    return kept.select(*[F.col(quoted(c)) for c in apart.columns]).withColumnsRenamed(back)

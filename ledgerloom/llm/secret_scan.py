@@ -22,7 +22,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import quoted
+from ledgerloom.llm.common import quoted, set_aside
 
 #: Long runs of key characters, and values of at least eight characters behind ``=`` or ``:``.
 CANDIDATE = r"[A-Za-z0-9_+/=-]{16,}|(?<=[=:][ \"']{0,2})[^\s\"'=:,;<>(){}\[\]|*#&]{8,}"
@@ -268,7 +268,8 @@ def findings(
 
 def redacted(docs: DataFrame, forest: list, threshold: float = 0.5, mark: str = "[SECRET]", text_column: str = "text") -> DataFrame:
     """``docs`` with every secret replaced by ``mark``; rows without one are unchanged."""
-    rows = scanned(docs, forest, text_column)
+    apart, back = set_aside(docs, ["_split", "_found", "_scores"])
+    rows = scanned(apart, forest, text_column)
     text = F.when(
         F.exists("_scores", lambda s: s >= threshold),
         F.array_join(
@@ -282,4 +283,4 @@ def redacted(docs: DataFrame, forest: list, threshold: float = 0.5, mark: str =
     out = rows.withColumn(text_column, text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length(F.col(quoted(text_column))).cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
-    return out.select(*[F.col(quoted(c)) for c in docs.columns])
+    return out.select(*[F.col(quoted(c)) for c in apart.columns]).withColumnsRenamed(back)

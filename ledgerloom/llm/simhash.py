@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.common import quoted, slices, written
+from ledgerloom.llm.common import quoted, set_aside, slices, written
 
 _SEED = 42
 _SHIFTS = np.arange(64, dtype=np.uint64)
@@ -307,11 +307,13 @@ def one_of_each(docs: DataFrame, max_bits: int = 4) -> DataFrame:
     classes = near_duplicates(docs, max_bits)
     chosen = classes.where("doc_id = component_id").select("doc_id").distinct()
     once = Window.partitionBy("doc_id").orderBy(F.length("text"), F.xxhash64("text"))
+    apart, back = set_aside(docs, ["_copy"])
     kept = (
-        docs.where("doc_id IS NOT NULL")
+        apart.where("doc_id IS NOT NULL")
         .join(chosen, "doc_id", "left_semi")
         .withColumn("_copy", F.row_number().over(once))
         .where("_copy = 1")
-        .select(*[F.col(quoted(c)) for c in docs.columns])
+        .select(*[F.col(quoted(c)) for c in apart.columns])
+        .withColumnsRenamed(back)
     )
     return kept.unionByName(docs.where("doc_id IS NULL"))
