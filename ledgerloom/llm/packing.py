@@ -70,14 +70,16 @@ def knapsack(values: np.ndarray, weights: np.ndarray, capacity: int) -> tuple[fl
     """
     best = np.zeros(capacity + 1)
     choice = np.full(capacity + 1, -1)
+    fitting = np.searchsorted(weights, np.arange(capacity + 1), side="right").tolist()
+    top = 0.0
     for c in range(1, capacity + 1):
-        n = int(np.searchsorted(weights, c, side="right"))
-        best[c] = best[c - 1]
+        n = fitting[c]
         if n:
             reached = best[c - weights[:n]] + values[:n]
             k = int(reached.argmax())
-            if reached[k] > best[c] + 1e-12:
-                best[c], choice[c] = reached[k], k
+            if reached[k] > top + 1e-12:
+                top, choice[c] = float(reached[k]), k
+        best[c] = top
     copies = np.zeros(len(weights), np.int64)
     c = capacity
     while c > 0:
@@ -96,8 +98,8 @@ def patterns(
 
     ``histogram`` maps a class (its length in grains, at most ``capacity``) to its
     number of pieces. Columns are generated until the linear program is within
-    ``tolerance`` of its bound, or ``max_columns`` were added; either way every
-    piece gets a slot.
+    ``tolerance`` or half a sequence of its bound, or ``max_columns`` were added;
+    either way every piece gets a slot.
     """
     weights = np.array(sorted(k for k, n in histogram.items() if n > 0), np.int64)
     if not len(weights):
@@ -106,12 +108,14 @@ def patterns(
     size = len(weights)
     columns = np.diag(capacity // weights).astype(float)
     inverse = np.diag(1.0 / np.diag(columns))
-    amounts = inverse @ demand
+    # Slightly uneven demands keep the steps of the program from stalling.
+    uneven = demand + np.random.default_rng(0).uniform(0, 1e-4, size)
+    amounts = inverse @ uneven
     for step in range(max_columns):
         duals = inverse.sum(axis=0)
         value, copies = knapsack(np.maximum(duals, 0), weights, capacity)
         # amounts.sum() / value bounds every solution from below.
-        if value <= 1 + tolerance:
+        if value <= 1 + tolerance or amounts.sum() * (1 - 1 / value) < 0.5:
             break
         column = copies.astype(float)
         direction = inverse @ column
@@ -128,13 +132,13 @@ def patterns(
         amounts = np.maximum(amounts, 0)
         if step % 200 == 199:  # against rounding errors
             inverse = np.linalg.inv(columns)
-            amounts = np.maximum(inverse @ demand, 0)
+            amounts = np.maximum(inverse @ uneven, 0)
     found: Counter = Counter()
     left = demand.astype(np.int64)
     for k in np.argsort(-amounts):
         column = columns[:, k].astype(np.int64)
         used = column > 0
-        times = min(int(np.floor(amounts[k] + 1e-6)), int((left[used] // column[used]).min()))
+        times = min(int(np.floor(amounts[k])), int((left[used] // column[used]).min()))
         if times > 0:
             left -= times * column
             found[tuple((int(weights[i]), int(column[i])) for i in np.flatnonzero(used))] += times
