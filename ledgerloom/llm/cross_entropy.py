@@ -26,11 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.common import quoted, slices
+from ledgerloom.llm.common import quoted, slices, written
 from ledgerloom.llm.wordhash import IS_PUNCTUATION, mix, text_bytes, words_of
 
 WORDS = 1 << 18
 MAX_PAIR_BITS = 22
+#: Classes in one row of the table of counts; divides the numbers of classes.
+BLOCK = 1 << 14
 #: Weight of the unigram model, in tokens.
 SMOOTHING = 32.0
 
@@ -112,14 +114,24 @@ def learn(docs: DataFrame, target_ids: DataFrame, id_column: str = "doc_id", tex
         .mapInArrow(count, "kind int, class int, background long, target long")
         .groupBy("kind", "class")
         .agg(F.sum("background").cast("float").alias("background"), F.sum("target").cast("float").alias("target"))
-    ).toPandas()
-    arrays = []
-    for kind, length in enumerate(sizes):
-        rows = counted[counted["kind"] == kind]
-        dense = np.zeros((2, length), np.float32)
-        dense[0, rows["class"].to_numpy()] = rows["background"].to_numpy()
-        dense[1, rows["class"].to_numpy()] = rows["target"].to_numpy()
-        arrays.append(dense)
+        .withColumn("block", F.expr(f"class div {BLOCK}").cast("int"))
+    )
+
+    def pack(rows: pa.Table) -> pa.Table:
+        counts = np.zeros((2, BLOCK), np.float32)
+        at = rows["class"].to_numpy() % BLOCK
+        counts[0, at] = rows["background"].to_numpy()
+        counts[1, at] = rows["target"].to_numpy()
+        return pa.table({"kind": rows["kind"][:1], "block": rows["block"][:1], "counts": pa.array([counts.tobytes()])})
+
+    # The driver reads a few hundred rows of fixed size, part by part.
+    packed = written(
+        counted.groupBy("kind", "block").applyInArrow(pack, "kind int, block int, counts binary"), "class-counts"
+    )
+    arrays = [np.zeros((2, length), np.float32) for length in sizes]
+    for row in packed.toLocalIterator():
+        low = row["block"] * BLOCK
+        arrays[row["kind"]][:, low : low + BLOCK] = np.frombuffer(row["counts"], np.float32).reshape(2, BLOCK)
     tokens = arrays[0].sum(axis=1, dtype=float)
     for dense in arrays:
         if tokens[1] > 0:
