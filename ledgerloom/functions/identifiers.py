@@ -43,6 +43,13 @@ def job_key(column: Column) -> Column:
     return F.regexp_replace(strip(column), rf"\A{JOB_PREFIX}", "")
 
 
+def requested_job_key(column: Column) -> Column:
+    """Key of a requested name. A job answers to its name with and without the
+    prefix, and a name that misses is tried once more without its prefix.
+    """
+    return F.regexp_replace(strip(column), rf"\A({JOB_PREFIX}){{1,2}}", "")
+
+
 def job_name(submitted_at: Column, payload: Column) -> Column:
     """``batches/loc_<date>_<time>_<8 hex digits>``.
 

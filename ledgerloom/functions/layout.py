@@ -127,10 +127,10 @@ def _row_text(row: Column, height: Column, page_right: Column) -> Column:
 
     def merge(done: Column, box: Column) -> Column:
         gap = box["left"] - done["right"]
-        crosses_middle = (
+        other_half = (
             wide & (done["left"] < middle) & (box["left"] >= middle) & (gap > height)
         )
-        enters_far_right = (
+        last_column = (
             wide
             & (box["left"] >= page_right * FAR_RIGHT_SHARE)
             & (gap > height * FAR_RIGHT_GAP_HEIGHTS)
@@ -138,7 +138,7 @@ def _row_text(row: Column, height: Column, page_right: Column) -> Column:
         wide_gap = gap > F.greatest(F.lit(MIN_COLUMN_GAP), height * COLUMN_GAP_HEIGHTS)
         separator = (
             F.when(done["left"].isNull(), F.lit(""))
-            .when(wide_gap | crosses_middle | enters_far_right, F.lit(CELL_SEPARATOR))
+            .when(wide_gap | other_half | last_column, F.lit(CELL_SEPARATOR))
             .otherwise(F.lit(" "))
         )
         return F.struct(

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.errors import error
-from ledgerloom.functions.identifiers import job_key
+from ledgerloom.functions.errors import INVALID_REQUEST, error, no_error
+from ledgerloom.functions.identifiers import job_key, requested_job_key
 from ledgerloom.functions.times import iso_timestamp
 from ledgerloom.limits import DEFAULT, Limits
 from ledgerloom.operators.countries import apply_rules
 from ledgerloom.operators.envelopes import json_record
+from ledgerloom.operators.groups import split_by_size
 from ledgerloom.operators.parse import parse_replies
 from ledgerloom.schemas import COUNTRIES
 
@@ -73,36 +74,61 @@ def status_from_progress(headers: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def nested_results(results: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
-    """Result list per job in completion order.
+    """Result list per job in completion order, with ``n_results`` and ``error``.
 
-    Jobs hold at most ``max_batch_items`` items, numbered from 0. The list
-    gathers those only, so it stays bounded whatever the key distribution.
+    Jobs hold at most ``max_batch_items`` items. A job with more has no list:
+    it gets an error row with its true count, and its items never meet.
     """
     entry = F.struct(
         "finished_at", "seq", "custom_id", "success", "data", "error", "token_usage"
     )
-    within = F.col("item_no") < limits.max_batch_items
-    nested = results.groupBy("batch_job_name").agg(
-        F.sort_array(F.collect_list(F.when(within, entry))).alias("_entries")
+    small, large = split_by_size(results, ["batch_job_name"], limits.max_batch_items)
+    nested = small.groupBy("batch_job_name").agg(
+        F.sort_array(F.collect_list(entry)).alias("_entries")
     )
     kept = ("custom_id", "success", "data", "error", "token_usage")
     entries = F.transform("_entries", lambda e: F.struct(*[e[k].alias(k) for k in kept]))
-    return nested.select("batch_job_name", entries.alias("results"))
+    lists = nested.select(
+        "batch_job_name",
+        F.size("_entries").cast("bigint").alias("n_results"),
+        entries.alias("results"),
+        no_error().alias("error"),
+    )
+    detail = F.concat(
+        F.lit(f"Batch job has more than {limits.max_batch_items} items: "),
+        F.col("n_rows").cast("string"),
+    )
+    rejected = large.select(
+        "batch_job_name",
+        F.col("n_rows").alias("n_results"),
+        F.lit(None).cast(lists.schema["results"].dataType).alias("results"),
+        error(400, INVALID_REQUEST, detail).alias("error"),
+    )
+    return lists.unionByName(rejected)
 
 
 def find_jobs(requests: DataFrame, status: DataFrame,
               name: str = "requested_name") -> tuple[DataFrame, DataFrame]:
     """Requests with their job's status, and requests for unknown jobs.
 
-    Names match after stripping, with or without their prefix.
+    Both are views of ``lookup_jobs``.
+    """
+    looked_up = lookup_jobs(requests, status, name)
+    found = looked_up.filter(F.col("error").isNull()).drop("error")
+    missing = looked_up.filter(F.col("error").isNotNull())
+    return found, missing.select(*requests.columns, "error")
+
+
+def lookup_jobs(requests: DataFrame, status: DataFrame, name: str = "requested_name") -> DataFrame:
+    """Every request with its job's status, or with an ``error`` if there is none.
+
+    Names match after stripping, with or without their prefix, and once more
+    without a prefix given twice. One join, so requests are read once.
     """
-    keyed = requests.withColumn("_key", job_key(F.col(name)))
+    keyed = requests.withColumn("_key", requested_job_key(F.col(name)))
     known = status.withColumn("_key", job_key(F.col("batch_job_name")))
-    found = keyed.join(known, "_key").drop("_key")
     detail = F.concat(F.lit("Batch job '"), F.col(name), F.lit("' was not found."))
-    missing = (
-        keyed.join(known.select("_key"), "_key", "left_anti")
-        .drop("_key")
-        .withColumn("error", error(404, "batch_job_not_found", detail))
+    missing = F.when(
+        F.col("batch_job_name").isNull(), error(404, "batch_job_not_found", detail)
     )
-    return found, missing
+    return keyed.join(known, "_key", "left").drop("_key").withColumn("error", missing)

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.errors import INVALID_REQUEST, error
 from ledgerloom.operators import india, usa
 from ledgerloom.schemas import COUNTRIES
 
@@ -37,6 +38,16 @@ def country_of_route(path: Column) -> Column:
     return country
 
 
+def is_known_country(country: Column) -> Column:
+    return F.coalesce(country.isin(*COUNTRIES), F.lit(False))
+
+
+def unknown_country(country: Column) -> Column:
+    """The error of a row that has no country, or one without a schema."""
+    given = F.coalesce(country, F.lit("none"))
+    return error(400, INVALID_REQUEST, F.concat(F.lit("Unknown country: "), given))
+
+
 def split_by_country(rows: DataFrame, column: str = "country") -> dict[str, DataFrame]:
     return {name: rows.filter(F.col(column) == name) for name in COUNTRIES}
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.errors import INVALID_REQUEST, error, no_error
+from ledgerloom.operators.groups import split_by_size
+
 
 def flatten(invoices: DataFrame, key: str, rows: str, keep_empty: bool = True) -> DataFrame:
     """One row per list element with its 1-based position.
@@ -16,22 +19,31 @@ def flatten(invoices: DataFrame, key: str, rows: str, keep_empty: bool = True) -
     return exploded.select(key, (F.col("_pos") + 1).alias("position"), "_row.*")
 
 
-def nest(items: DataFrame, key: str, rows: str, max_items: int) -> tuple[DataFrame, DataFrame]:
-    """Ordered lists from a flat table with a 1-based ``position``.
+def nest(items: DataFrame, key: str, rows: str, max_items: int) -> DataFrame:
+    """One row per key: its list in the order of ``position``, ``n_items`` and ``error``.
 
-    A list becomes a single value, so only lists of up to ``max_items`` are
-    built. The second table keeps the elements of all longer lists as rows.
+    A list becomes a single value. A key with more than ``max_items`` elements
+    has no list but an error with its true count; its elements never meet.
     """
     fields = [c for c in items.columns if c not in (key, "position")]
-    element = F.struct("position", *fields)
-    grouped = items.groupBy(key).agg(
-        F.max("position").alias("_last"),
-        F.collect_list(F.when(F.col("position") <= max_items, element)).alias("_rows"),
+    small, large = split_by_size(items, [key], max_items)
+    gathered = small.groupBy(key).agg(
+        F.sort_array(F.collect_list(F.struct("position", *fields))).alias("_rows")
+    )
+    ordered = F.transform("_rows", lambda r: F.struct(*[r[f].alias(f) for f in fields]))
+    nested = gathered.select(
+        key,
+        F.size("_rows").cast("bigint").alias("n_items"),
+        ordered.alias(rows),
+        no_error().alias("error"),
+    )
+    detail = F.concat(
+        F.lit(f"List has more than {max_items} elements: "), F.col("n_rows").cast("string")
     )
-    short = F.col("_last") <= max_items
-    ordered = F.transform(
-        F.sort_array("_rows"), lambda r: F.struct(*[r[f].alias(f) for f in fields])
+    rejected = large.select(
+        key,
+        F.col("n_rows").alias("n_items"),
+        F.lit(None).cast(nested.schema[rows].dataType).alias(rows),
+        error(413, INVALID_REQUEST, detail).alias("error"),
     )
-    nested = grouped.filter(short).select(key, ordered.alias(rows))
-    long_keys = grouped.filter(~short).select(key)
-    return nested, items.join(long_keys, key, "left_semi")
+    return nested.unionByName(rejected)

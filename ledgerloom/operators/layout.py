@@ -15,6 +15,7 @@ from ledgerloom.functions.errors import (
 from ledgerloom.functions.layout import render_boxes
 from ledgerloom.functions.text import strip
 from ledgerloom.limits import DEFAULT, Limits
+from ledgerloom.operators.groups import split_by_size
 
 PAGE_KEYS = ["doc_key", "page_no"]
 
@@ -44,36 +45,28 @@ def _rendered(pages: DataFrame, too_many) -> DataFrame:
 def pages_from_boxes(boxes: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
     """One row per page from boxes ``(doc_key, page_no, ord, top, ..., text)``.
 
-    ``ord`` numbers the boxes of a page from 0. Only boxes that fit under the
-    token ceiling are gathered: a page with more cannot pass it whatever its
-    boxes say, so it gets that error and its boxes never meet in one task.
+    A page with more boxes than the token ceiling can hold cannot pass it
+    whatever its boxes say. It gets that error with its true count, and its
+    boxes never meet in one task. Blank boxes are not counted.
     """
     keep = strip(F.col("text")) != ""
-    fits = F.col("ord") < limits.max_page_boxes
-    pages = boxes.groupBy(*PAGE_KEYS).agg(
-        F.collect_list(F.when(keep & fits, _box())).alias("_boxes"),
-        F.count_if(keep).alias("box_count"),
+    # A blank box stands for its page only, and says nothing about its size.
+    _, large = split_by_size(boxes.filter(keep), PAGE_KEYS, limits.max_page_boxes)
+    crowded = large.select(*[F.col(k).alias(f"_{k}") for k in PAGE_KEYS])
+    same = F.lit(True)
+    for key in PAGE_KEYS:
+        same = same & boxes[key].eqNullSafe(crowded[f"_{key}"])
+    pages = (
+        boxes.join(crowded, same, "left_anti")
+        .groupBy(*PAGE_KEYS)
+        .agg(
+            F.collect_list(F.when(keep, _box())).alias("_boxes"),
+            F.count_if(keep).alias("box_count"),
+        )
     )
-    return _rendered(pages, F.col("box_count") > F.size("_boxes"))
-
-
-def pages_from_loose_boxes(boxes: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
-    """The same for boxes whose ``ord`` is no gapless numbering.
-
-    Pages are counted first; boxes of pages over the ceiling are dropped in a
-    join that splits skewed keys, before anything is gathered.
-    """
-    usable = boxes.filter(strip(F.col("text")) != "")
-    counts = boxes.groupBy(*PAGE_KEYS).agg(
-        F.count_if(strip(F.col("text")) != "").alias("box_count")
-    )
-    too_many = F.col("box_count") > limits.max_page_boxes
-    small = usable.join(counts.filter(~too_many).select(*PAGE_KEYS), PAGE_KEYS, "left_semi")
-    gathered = small.groupBy(*PAGE_KEYS).agg(
-        F.collect_list(_box()).alias("_boxes"), F.count(F.lit(1)).alias("box_count")
-    )
-    # Pages without a usable box and pages over the ceiling carry no boxes.
-    others = counts.filter(too_many | (F.col("box_count") == 0)).withColumn(
-        "_boxes", F.lit(None).cast(gathered.schema["_boxes"].dataType)
+    others = large.select(
+        *PAGE_KEYS,
+        F.lit(None).cast(pages.schema["_boxes"].dataType).alias("_boxes"),
+        F.col("n_rows").alias("box_count"),
     )
-    return _rendered(gathered.unionByName(others), too_many)
+    return _rendered(pages.unionByName(others), F.col("box_count") > limits.max_page_boxes)

@@ -37,27 +37,36 @@ def _joined(pages: Column, page_end: str) -> Column:
 
 
 def _gather(doc_pages: DataFrame, body: Column, limits: Limits) -> DataFrame:
-    """One row per document with the pages of both layers, in one shuffle.
+    """One row per document with the pages of both layers.
 
-    Pages beyond the page limit only count: their document is rejected, so
-    their text stays out of the shuffle and no document gathers more than the
-    limit, however many pages its key has.
+    A document with more pages in a layer than the limit is rejected as a whole:
+    it is found by partial counts, and its pages are never gathered.
     """
     raw = strip(F.col("text"))
-    within = F.col("page_no") <= limits.max_pdf_pages
     is_ocr = F.col("layer") == "ocr"
     page = F.struct(F.col("page_no").alias("page_no"), body.alias("body"))
     digital = ~is_ocr & (raw != "")
     # Length of the joined digital text: header, newline, body, blank line.
     digital_length = F.length(page_header(F.col("page_no"))) + 1 + F.length(raw) + 2
-    return doc_pages.groupBy("doc_key").agg(
+    counts = doc_pages.groupBy("doc_key").agg(
         F.max("page_no").alias("total_pages"),
-        F.collect_list(F.when(digital & within, page)).alias("_digital"),
-        F.collect_list(F.when(is_ocr & within, page)).alias("_ocr"),
-        F.coalesce(F.sum(F.when(digital, digital_length)) - 2, F.lit(0)).alias("_digital_chars"),
-        F.count_if(is_ocr).alias("_ocr_pages"),
-        F.count_if(is_ocr & (raw == "")).alias("_blank_ocr_pages"),
+        F.greatest(F.count_if(is_ocr), F.count_if(~is_ocr)).alias("_pages"),
     )
+    large = counts.filter(F.col("_pages") > limits.max_pdf_pages)
+    gathered = (
+        doc_pages.join(large.select("doc_key"), "doc_key", "left_anti")
+        .groupBy("doc_key")
+        .agg(
+            F.max("page_no").alias("total_pages"),
+            F.greatest(F.count_if(is_ocr), F.count_if(~is_ocr)).alias("_pages"),
+            F.collect_list(F.when(digital, page)).alias("_digital"),
+            F.collect_list(F.when(is_ocr, page)).alias("_ocr"),
+            F.coalesce(F.sum(F.when(digital, digital_length)) - 2, F.lit(0)).alias("_digital_chars"),
+            F.count_if(is_ocr).alias("_ocr_pages"),
+            F.count_if(is_ocr & (raw == "")).alias("_blank_ocr_pages"),
+        )
+    )
+    return gathered.unionByName(large, allowMissingColumns=True)
 
 
 def _routed(gathered: DataFrame, page_end: str, limits: Limits) -> DataFrame:
@@ -66,7 +75,7 @@ def _routed(gathered: DataFrame, page_end: str, limits: Limits) -> DataFrame:
     unreadable = used_ocr & ((F.col("_ocr_pages") == 0) | (F.col("_blank_ocr_pages") > 0))
     failure = (
         F.when(
-            F.col("total_pages") > limits.max_pdf_pages,
+            F.col("_pages") > limits.max_pdf_pages,
             error(413, "too_many_pages", f"PDF exceeds the {limits.max_pdf_pages}-page limit"),
         )
         .when(unreadable, error(422, EXTRACTION_FAILED, NO_READABLE_TEXT))
@@ -77,8 +86,9 @@ def _routed(gathered: DataFrame, page_end: str, limits: Limits) -> DataFrame:
         "doc_key",
         "total_pages",
         used_ocr.alias("used_ocr"),
+        # No way was taken for a document with too many pages.
         F.when(used_ocr, F.lit(OCR_METHOD))
-        .otherwise(F.lit(DIGITAL_METHOD))
+        .when(~used_ocr, F.lit(DIGITAL_METHOD))
         .alias("extraction_method"),
         F.when(failure.isNull(), _joined(pages, page_end)).alias("text"),
         failure.alias("error"),

@@ -58,14 +58,17 @@ def _text_field(value: Column, name: str, schema: RecordSchema) -> tuple[Column,
 def _money_field(value: Column, name: str) -> tuple[Column, Column]:
     """A JSON number is taken as it is, a JSON string is cleaned, all else is null.
 
-    Only a number too large for a double, which reads as infinity, is wrong.
+    A number that the money type can't hold is wrong, in either form.
     """
     kind = F.schema_of_variant(value)
-    amount = F.when(kind == "STRING", clean_money(_as(value, "string"))).when(
+    text = _as(value, "string")
+    amount = F.when(kind == "STRING", clean_money(text)).when(
         kind != "BOOLEAN", _as(value, MONEY_SQL)
     )
-    infinite = (kind == "DOUBLE") & (F.abs(_as(value, "double")) == float("inf"))
-    return amount, F.when(infinite, F.lit(name))
+    is_number = F.when(kind == "STRING", text.rlike(r"\p{Nd}")).otherwise(
+        (kind != "BOOLEAN") & _as(value, "double").isNotNull()
+    )
+    return amount, F.when(is_number & amount.isNull(), F.lit(name))
 
 
 def _fields(raw: Column, schema: RecordSchema) -> tuple[dict[str, Column], list[Column]]:
@@ -110,15 +113,18 @@ def read_records(rows: DataFrame, json: str, schema: RecordSchema) -> DataFrame:
     no JSON object has the single problem ``$``. Each step is a projection of
     its own, so lists and problems are computed once and used twice.
     """
-    # The parser stops after one value. With a mark behind the text, anything
-    # that follows the object breaks the JSON or hides the mark.
-    marked = F.concat(F.lit('{"record":'), F.col(json), F.lit(',"__end__":true}'))
-    root = _as(F.try_parse_json(marked), f"struct<record:{_raw_sql(schema)},__end__:boolean>")
+    # The parser stops after one value. The text stands in an array before its
+    # own hash: whatever follows the object breaks the JSON or takes the place
+    # of the hash.
+    mark = F.xxhash64(F.col(json))
+    marked = F.concat(F.lit("["), F.col(json), F.lit(","), mark.cast("string"), F.lit("]"))
+    root = F.col("_root")
+    is_whole = (F.size(root) == 2) & (_as(F.get(root, F.lit(1)), "bigint") == mark)
     raw = F.col("_raw")
     lists = {name: f"_list_{name}" for name in schema.lists}
     parsed = (
-        rows.withColumn("_root", root)
-        .withColumn("_raw", F.when(F.col("_root.__end__"), F.col("_root.record")))
+        rows.withColumn("_root", _as(F.try_parse_json(marked), "array<variant>"))
+        .withColumn("_raw", F.when(is_whole, _as(F.get(root, F.lit(0)), _raw_sql(schema))))
         .withColumns({c: _parsed_list(raw[n], n, schema.lists[n]) for n, c in lists.items()})
     )
 

@@ -87,7 +87,7 @@ MONEY_TEXT = (
 
 # --- India headers -----------------------------------------------------------
 
-GSTIN = "lpad(cast(o_orderkey % 37 as string), 2, '0') || 'aaacc' || lpad(cast(o_orderkey % 10000 as string), 4, '0') || 'd1z5'"
+GSTIN = "lpad(cast(o_orderkey % 37 as string), 2, '0') || 'qwert' || lpad(cast(o_orderkey % 10000 as string), 4, '0') || 'y1zx'"
 INDIA_HEADERS = [
     "cast(o_orderkey as string) as doc_key",
     f"case when o_orderkey % 3 = 0 then {PRICE} end as taxable_amount",
@@ -186,12 +186,17 @@ STRICT_JSON = (
 
 JOB_OF_USER = "'batches/loc_' || cast(user_id as string)"
 REQUESTED_JOB = (
-    "case event_id % 5 when 0 then 'batches/loc_' || cast(user_id as string)"
+    "case event_id % 6 when 0 then 'batches/loc_' || cast(user_id as string)"
     " when 1 then 'loc_' || cast(user_id as string)"
     " when 2 then ' batches/loc_' || cast(user_id as string) || chr(9)"
-    " when 3 then '  loc_' || cast(user_id as string) else 'batches/batches/loc_' || cast(user_id as string) end"
+    " when 3 then '  loc_' || cast(user_id as string)"
+    " when 4 then 'batches/batches/loc_' || cast(user_id as string)"
+    " else 'batches/batches/batches/loc_' || cast(user_id as string) end"
+)
+# Blocks of 100 events; every seventh block joins the one before it, which is too large then.
+BLOCK_OF_EVENT = (
+    "cast(floor(event_id / 100) - case when floor(event_id / 100) % 7 = 4 then 1 else 0 end as bigint)"
 )
-BLOCK_OF_EVENT = "cast(floor(event_id / 100) as bigint)"
 
 # --- errors ------------------------------------------------------------------
 
@@ -384,50 +389,46 @@ def _lines(*lines: str) -> str:
 
 PRINTED_INVOICES = {
     "uae": _lines(
-        "'TAX INVOICE'",
-        "'Supplier Name: Seller ' || cast(o_orderkey % 50 as string) || ' LLC'",
-        f"'Supplier TRN: ' || {_SELLER_TRN}",
-        "'  Buyer Name :  Buyer ' || cast(o_custkey as string) || '  '",
-        f"'Buyer TRN: ' || case when o_orderkey % 4 = 0 then '123' else {_BUYER_TRN} end",
-        "case when o_orderkey % 3 = 0 then 'Receipt No: R-' else 'Invoice Number: UAE-' end || cast(o_orderkey as string)",
-        f"'Invoice Date: ' || {PRINTED_DATE}",
-        f"'Total Net Amount: ' || {THOUSANDS} || ' AED'",
-        "'VAT Rate: 5%'",
-        "case when o_orderkey % 5 = 0 then 'Total: AED 77.50' else 'Invoice Grand Total: ' || "
-        + PRICE_TEXT
-        + " || ' AED' end",
+        "case when o_orderkey % 3 = 0 then 'Bill No.: B/' else 'Tax Invoice No.: T/' end || cast(o_orderkey as string) || ' | page 1'",
         "'Currency: AED'",
+        f"'Date: ' || {PRINTED_DATE}",
+        f"'  Customer :  Depot ' || cast(o_custkey as string) || '  '",
+        f"'Customer TRN: ' || case when o_orderkey % 4 = 0 then '123' else {_BUYER_TRN} end",
+        f"'Subtotal: ' || {THOUSANDS} || ' dirham'",
+        "'VAT Rate: ' || cast(o_orderkey % 6 as string) || '%'",
+        "case when o_orderkey % 5 = 0 then 'Total: AED 31.75' else 'Grand Total: ' || " + PRICE_TEXT + " end",
+        "'PO No.: ' || cast(o_custkey as string) || '/' || cast(o_orderkey % 7 as string)",
+        "'Vendor: Dune Tools ' || cast(o_orderkey % 50 as string)",
+        f"'Vendor TRN: ' || {_SELLER_TRN}",
     ),
     "usa": _lines(
-        "'COMMERCIAL INVOICE'",
-        "'Vendor: Apex ' || cast(o_orderkey % 50 as string)",
-        "'Vendor EIN: 12-' || lpad(cast(o_orderkey as string), 7, '0')",
-        "'Customer: Client ' || cast(o_custkey as string)",
-        "'Customer Tax ID: 98-7654321'",
-        "'Invoice No: USA-' || cast(o_orderkey as string)",
-        f"'Invoice Date: ' || {PRINTED_DATE}",
-        "'PO Number: PO-' || cast(o_custkey as string)",
-        f"'Net Amount: ' || {PRICE_TEXT}",
-        "'Sales Tax Rate: 8.25%'",
-        "'Sales Tax: 37.13'",
-        "'Shipping & Freight: ' || cast(o_orderkey % 40 as string) || '.00'",
-        f"'Grand Total: $ ' || {THOUSANDS} || ' USD'",
-        f"'Total Balance Payable: ' || {PRICE_TEXT} || ' USD'",
+        "'Amount Due: ' || " + PRICE_TEXT,
+        "'Purchase Order: ' || cast(o_custkey as string) || '-X'",
+        "'Bill To: Harbor Mill ' || cast(o_custkey as string)",
+        "'Seller: Cedar Works ' || cast(o_orderkey % 50 as string)",
+        "'EIN: 55-' || lpad(cast(o_orderkey as string), 7, '0')",
+        "'Customer EIN: 44-' || lpad(cast(o_custkey as string), 7, '0')",
+        f"'Date: ' || {PRINTED_DATE}",
+        "'Bill No.: ' || cast(o_orderkey as string) || '-C'",
+        f"'Subtotal: USD ' || {THOUSANDS}",
+        "'Sales Tax: ' || cast(o_orderkey % 90 as string) || '.04'",
+        "'Sales Tax Rate: ' || cast(o_orderkey % 11 as string) || '.5 %'",
+        "'Freight: ' || cast(o_orderkey % 40 as string) || '.00'",
+        f"'Invoice Total: ' || {PRICE_TEXT}",
     ),
     "india": _lines(
-        "'TAX INVOICE'",
-        "'Supplier: CloudTech ' || cast(o_orderkey % 50 as string)",
-        f"'Supplier GSTIN: ' || upper({GSTIN}) || '    PAN: ' || substring(upper({GSTIN}), 3, 10)",
-        "'Customer: Enterprise ' || cast(o_custkey as string)",
-        f"'Customer GSTIN: ' || upper({GSTIN})",
-        "'Invoice Number: IN-' || cast(o_orderkey as string)",
-        f"'Invoice Date: ' || {PRINTED_DATE}",
-        "'Item 1: Hosting | HSN: 998' || cast(100 + o_orderkey % 900 as string) || ' | Qty: 1'",
-        f"'Taxable Amount: ' || {PRICE_TEXT}",
-        "'CGST (9%): 45' || cast(o_orderkey % 10 as string) || '.00'",
-        "'SGST (9%): 4500.00'",
-        "'IGST (0%): 0.00'",
-        f"'Invoice Grand Total: ' || {THOUSANDS} || ' INR'",
+        f"'Date: ' || {PRINTED_DATE}",
+        "'Bill No.: ' || cast(o_orderkey as string) || '/A'",
+        "'Billed To: Teak Yard ' || cast(o_custkey as string)",
+        f"'Recipient GSTIN: ' || upper({GSTIN})",
+        f"'Vendor GSTIN: ' || upper({GSTIN}) || ' PAN: ' || substring(upper({GSTIN}), 3, 10)",
+        "'Seller: Mango Mills ' || cast(o_orderkey % 50 as string)",
+        "'Rice bags | SAC: 10' || cast(100 + o_orderkey % 900 as string)",
+        "'IGST: 1.25'",
+        "'UTGST (6%): ' || cast(o_orderkey % 10 as string) || '2.60'",
+        "'CGST (6 %): 71' || cast(o_orderkey % 10 as string) || '.30'",
+        f"'Taxable: Rs ' || {PRICE_TEXT}",
+        f"'Total: ' || {THOUSANDS}",
     ),
 }
 

@@ -8,13 +8,13 @@ an earlier stage again.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.errors import EXTRACTION_FAILED, NO_READABLE_TEXT, error
 from ledgerloom.limits import DEFAULT, Limits
 from ledgerloom.operators import uae
-from ledgerloom.operators.countries import apply_rules
+from ledgerloom.operators.countries import apply_rules, is_known_country, unknown_country
 from ledgerloom.operators.envelopes import error_rows, success_envelopes
 from ledgerloom.operators.parse import parse_replies
 from ledgerloom.operators.prepare import prepare_pages
@@ -56,12 +56,28 @@ def save_replied(prepared: DataFrame, responses: DataFrame, path: str) -> DataFr
     return prepared.sparkSession.read.parquet(path)
 
 
+def _has_reply(replied: DataFrame) -> Column:
+    """True where the model was called, with or without success."""
+    called = F.col("http_status").isNotNull()
+    return called | F.col("failure").isNotNull() if "failure" in replied.columns else called
+
+
+def _own(replied: DataFrame, country: str) -> DataFrame:
+    fits = (F.col("country") == country) & F.col("error").isNull()
+    return replied.filter(fits & _has_reply(replied))
+
+
+def pending(replied: DataFrame) -> DataFrame:
+    """Documents of the known countries that wait for their model call."""
+    waits = F.col("error").isNull() & is_known_country(F.col("country"))
+    return replied.filter(waits & ~_has_reply(replied))
+
+
 def invoices(replied: DataFrame, country: str) -> DataFrame:
     """Typed invoices of one country with ``data``, ``error`` and, for the UAE,
     ``validation``. Reads that country's folder only and shuffles nothing.
     """
-    own = replied.filter((F.col("country") == country) & F.col("error").isNull())
-    ruled = apply_rules(parse_replies(own, country), country)
+    ruled = apply_rules(parse_replies(_own(replied, country), country), country)
     return uae.validate(ruled) if country == "uae" else ruled
 
 
@@ -71,9 +87,15 @@ def all_envelopes(replied: DataFrame) -> dict[str, DataFrame]:
 
 
 def all_errors(replied: DataFrame) -> DataFrame:
-    """Error rows of every stage. Needs ``occurred_at, seq, request_id``."""
-    failed = replied.filter(F.col("error").isNotNull()).select(*_ERROR_KEYS)
+    """Error rows of every stage. Needs ``occurred_at, seq, request_id``.
+
+    With the success envelopes and ``pending`` they account for every document:
+    one of a missing or unknown country is an error, too.
+    """
+    unknown = F.when(~is_known_country(F.col("country")), unknown_country(F.col("country")))
+    early = replied.withColumn("error", F.coalesce(F.col("error"), unknown))
+    failed = early.filter(F.col("error").isNotNull()).select(*_ERROR_KEYS)
     for country in COUNTRIES:
-        own = replied.filter((F.col("country") == country) & F.col("error").isNull())
-        failed = failed.unionByName(parse_replies(own, country).select(*_ERROR_KEYS))
+        replies = parse_replies(_own(replied, country), country)
+        failed = failed.unionByName(replies.select(*_ERROR_KEYS))
     return error_rows(failed)

@@ -69,19 +69,19 @@ with pages as (
   select cast(conv_id as varchar) as doc_key, cast(turn + 1 as integer) as page_no, {strip('text')} as body
   from conversations
 ), docs as (
-  select doc_key, max(page_no) as total_pages,
-    string_agg({_HEADER} || body, chr(10) || chr(10) order by page_no) filter (body <> '' and page_no <= 20) as joined
+  select doc_key, max(page_no) as total_pages, count(*) > 5 as too_many,
+    string_agg({_HEADER} || body, chr(10) || chr(10) order by page_no) filter (body <> '') as joined
   from pages group by doc_key
-)
+), routed as (select *, coalesce(length(joined), 0) < 40 as scanned from docs)
 select doc_key, total_pages,
-  case when coalesce(length(joined), 0) < 40 then 'paddleocr' else 'pymupdf' end as extraction_method,
-  coalesce(length(joined), 0) < 40 as used_ocr,
-  case when total_pages <= 20 and length(joined) >= 40 then joined end as text,
-  cast(case when total_pages <= 20 and length(joined) >= 40 then length(joined) end as integer) as character_count,
-  cast(case when total_pages > 20 then 413 when coalesce(length(joined), 0) < 40 then 422 end as integer) as status,
-  case when total_pages > 20 then 'too_many_pages' when coalesce(length(joined), 0) < 40 then 'document_extraction_failed' end as code,
-  case when total_pages > 20 then 'PDF exceeds the 20-page limit' when coalesce(length(joined), 0) < 40 then '{UNREADABLE}' end as detail
-from docs
+  case when too_many then null when scanned then 'paddleocr' else 'pymupdf' end as extraction_method,
+  case when not too_many then scanned end as used_ocr,
+  case when not too_many and not scanned then joined end as text,
+  cast(case when not too_many and not scanned then length(joined) end as integer) as character_count,
+  cast(case when too_many then 413 when scanned then 422 end as integer) as status,
+  case when too_many then 'too_many_pages' when scanned then 'document_extraction_failed' end as code,
+  case when too_many then 'PDF exceeds the 5-page limit' when scanned then '{UNREADABLE}' end as detail
+from routed
 """
 
 _ROUTED = f"""
@@ -316,9 +316,9 @@ from (select o_orderkey, o_orderkey % 4 as n, unnest(range(1, greatest(1, o_orde
 ORACLES["items_nest"] = """
 with r as (select o_orderkey, o_orderkey % 4 as n, unnest(range(1, o_orderkey % 4 + 1)) as i from orders),
 t as (select *, 'item ' || cast(o_orderkey % 100 as varchar) || '.' || cast(i as varchar) as description from r)
-select o_orderkey, cast(max(n) as integer) as n_items, string_agg(description, ',' order by i) as descriptions from t where n <= 2 group by o_orderkey
-union all
-select o_orderkey, cast(-1 as integer), description from t where n > 2
+select o_orderkey, count(*) as n_items, case when count(*) <= 2 then string_agg(description, ',' order by i) end as descriptions,
+  case when count(*) > 2 then 'List has more than 2 elements: ' || cast(count(*) as varchar) end as detail
+from t group by o_orderkey
 """
 
 
@@ -483,10 +483,10 @@ ORACLES["stream_batch_status"] = ORACLES["batch_status"]
 ORACLES["batch_lookup"] = f"""
 with r as (select event_id, user_id, {d.REQUESTED_JOB} as requested from events),
 g as (select user_id, count(*) + user_id % 2 as total_items from events group by user_id)
-select event_id, case when event_id % 5 < 4 then 'batches/loc_' || cast(r.user_id as varchar) end as batch_job_name,
-  case when event_id % 5 < 4 then total_items end as total_items,
-  cast(case when event_id % 5 = 4 then 404 end as integer) as status,
-  case when event_id % 5 = 4 then 'Batch job ''' || requested || ''' was not found.' end as detail
+select event_id, case when event_id % 6 < 5 then 'batches/loc_' || cast(r.user_id as varchar) end as batch_job_name,
+  case when event_id % 6 < 5 then total_items end as total_items,
+  cast(case when event_id % 6 = 5 then 404 end as integer) as status,
+  case when event_id % 6 = 5 then 'Batch job ''' || requested || ''' was not found.' end as detail
 from r join g on g.user_id = r.user_id
 """
 
@@ -507,10 +507,12 @@ union all
 select 'batches/loc_' || cast(doc_id as varchar), null, null, null, detail from f where detail is not null
 """
 
-ORACLES["batch_results"] = """
-select cast(event_id // 100 as varchar) as batch_job_name, cast(count(*) as integer) as n_results,
-  string_agg(cast(event_id as varchar) || ':' || cast(event_type <> 'error' as varchar), ',' order by ts, event_id) as results
-from events group by event_id // 100
+ORACLES["batch_results"] = f"""
+with e as (select *, {d.BLOCK_OF_EVENT} as block from events)
+select cast(block as varchar) as batch_job_name, count(*) as n_results,
+  case when count(*) <= 100 then string_agg(cast(event_id as varchar) || ':' || cast(event_type <> 'error' as varchar), ',' order by ts, event_id) end as results,
+  case when count(*) > 100 then 'Batch job has more than 100 items: ' || cast(count(*) as varchar) end as detail
+from e group by block
 """
 
 ORACLES["completion_join"] = f"""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import dates, errors, identifiers, text, times
 from ledgerloom.functions.money import MONEY, clean_money, to_json_number
+from ledgerloom.limits import Limits
 from ledgerloom.operators import (
     activity,
     batches,
@@ -66,8 +67,9 @@ def money(name: str):
 
 @query
 def page_assembly(spark, sf_dir):
+    # A low page limit, so that some documents exceed it.
     doc_pages = table(spark, sf_dir, "conversations").selectExpr(*derived.CONVERSATION_PAGES)
-    return pages.document_text(doc_pages).select(
+    return pages.document_text(doc_pages, Limits(max_pdf_pages=5)).select(
         "doc_key", "total_pages", "extraction_method", "used_ocr", "text", "character_count",
         *error_columns(),
     )
@@ -195,7 +197,7 @@ def ocr_extractor(spark, sf_dir):
 @query
 def ocr_layout(spark, sf_dir):
     boxes = table(spark, sf_dir, "lineitem").selectExpr(*derived.BOXES)
-    return layout.pages_from_loose_boxes(boxes).select(
+    return layout.pages_from_boxes(boxes).select(
         "doc_key", "box_count", "text", F.col("error.code").alias("code")
     )
 
@@ -310,16 +312,13 @@ def items_nest(spark, sf_dir):
         "o_orderkey", f"{derived.ITEMS_SPARK} as items"
     )
     flat = items.flatten(orders, "o_orderkey", "items", keep_empty=False)
-    nested, longer = items.nest(flat, "o_orderkey", "items", max_items=2)
-    short_rows = nested.select(
+    # A low limit, so that some lists exceed it.
+    return items.nest(flat, "o_orderkey", "items", max_items=2).select(
         "o_orderkey",
-        F.size("items").alias("n_items"),
+        "n_items",
         F.array_join(F.transform("items", lambda i: i["description"]), ",").alias("descriptions"),
+        F.col("error.detail").alias("detail"),
     )
-    long_rows = longer.select(
-        "o_orderkey", F.lit(-1).alias("n_items"), F.col("description").alias("descriptions")
-    )
-    return short_rows.unionByName(long_rows)
 
 
 @query
@@ -476,18 +475,9 @@ def batch_status(spark, sf_dir):
 def batch_lookup(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     requests = events.selectExpr("event_id", f"{derived.REQUESTED_JOB} as requested_name")
-    found, missing = batches.find_jobs(requests, _job_headers(events))
-    return found.select(
+    return batches.lookup_jobs(requests, _job_headers(events)).select(
         "event_id", "batch_job_name", "total_items",
-        F.lit(None).cast("int").alias("status"), F.lit(None).cast("string").alias("detail"),
-    ).unionByName(
-        missing.select(
-            "event_id",
-            F.lit(None).cast("string").alias("batch_job_name"),
-            F.lit(None).cast("bigint").alias("total_items"),
-            F.col("error.status").alias("status"),
-            F.col("error.detail").alias("detail"),
-        )
+        F.col("error.status").alias("status"), F.col("error.detail").alias("detail"),
     )
 
 
@@ -529,11 +519,12 @@ def batch_results(spark, sf_dir):
     )
     return batches.nested_results(results).select(
         "batch_job_name",
-        F.size("results").alias("n_results"),
+        "n_results",
         F.array_join(
             F.transform("results", lambda r: F.concat(r["custom_id"], F.lit(":"), r["success"].cast("string"))),
             ",",
         ).alias("results"),
+        F.col("error.detail").alias("detail"),
     )
 
 

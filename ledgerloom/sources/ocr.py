@@ -79,10 +79,13 @@ def legacy_page_texts(ocr_results: DataFrame, body: str = "body") -> DataFrame:
     """
 
     def items_of(value: Column) -> Column:
-        # In an unwrapped list the first item's text stands at [0][1][0].
-        unwrapped = F.schema_of_variant(F.try_variant_get(value, "$[0][1][0]", "variant"))
-        is_unwrapped = F.coalesce(unwrapped == "STRING", F.lit(False))
-        return F.when(is_unwrapped, F.try_variant_get(value, "$", "array<variant>")).otherwise(
+        # An item starts with its polygon, so three steps down stands a number;
+        # in a list that is wrapped once more, a point stands there.
+        outer = F.try_variant_get(value, "$", "array<variant>")
+        is_unwrapped = F.exists(
+            outer, lambda item: F.try_variant_get(item, "$[0][0][0]", "double").isNotNull()
+        )
+        return F.when(is_unwrapped, outer).otherwise(
             F.try_variant_get(value, "$[0]", "array<variant>")
         )
 

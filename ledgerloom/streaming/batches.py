@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ledgerloom.operators.batches import item_results, progress, status_from_progress
+from ledgerloom.operators.countries import is_known_country, unknown_country
 from ledgerloom.schemas import COUNTRIES
 from ledgerloom.session import new_work_path
 from ledgerloom.sources.hooks import ModelCall, run_model
@@ -29,8 +30,17 @@ def results_of_items(items: DataFrame, factory: Callable[[], ModelCall],
         own = items.filter(F.col("country") == country)
         replies = run_model(own, factory, prompts, keys=_KEYS)
         parts.append(item_results(replies, country))
-    results = parts[0]
-    for part in parts[1:]:
+    # An item of another country fails like any other, so its job still ends.
+    country = F.col("country")
+    results = items.filter(~is_known_country(country)).select(
+        *_KEYS,
+        country,
+        F.lit(False).alias("success"),
+        F.lit(None).cast("string").alias("data"),
+        unknown_country(country)["detail"].alias("error"),
+        F.lit(None).cast(parts[0].schema["token_usage"].dataType).alias("token_usage"),
+    )
+    for part in parts:
         results = results.unionByName(part)
     return results.withColumns(
         {"finished_at": F.current_timestamp(), "seq": F.col("item_no").cast("bigint")}

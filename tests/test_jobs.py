@@ -61,20 +61,24 @@ def test_status(spark):
 
 def test_lookup(spark):
     headers, _ = job_tables(spark)
-    requests = spark.createDataFrame([(n,) for n in ("a", " batches/b\t", "batches/batches/a", "x")], "requested_name string")
+    names = ("a", " batches/b\t", "batches/batches/a", "batches/batches/batches/a", "x", None)
+    requests = spark.createDataFrame([(n,) for n in names], "requested_name string")
     found, missing = batches.find_jobs(requests, headers)
-    assert sorted(r.batch_job_name for r in found.collect()) == ["batches/a", "batches/b"]
-    assert sorted(r.error.detail for r in missing.collect()) == [
-        "Batch job 'batches/batches/a' was not found.", "Batch job 'x' was not found."]
+    assert sorted(r.batch_job_name for r in found.collect()) == ["batches/a", "batches/a", "batches/b"]
+    assert sorted(str(r.error.detail) for r in missing.collect()) == [
+        "Batch job 'batches/batches/batches/a' was not found.", "Batch job 'x' was not found.", "None"]
 
 
-def test_nested_results_stay_bounded(spark):
-    rows = spark.range(0, 5000).selectExpr(
-        "'hot' as batch_job_name", "cast(id as int) as item_no", "cast(id as string) as custom_id", "true as success",
+def test_nested_results_are_whole_or_an_error(spark):
+    rows = spark.range(0, 5050).selectExpr(
+        "if(id < 50, 'small', 'hot') as batch_job_name", "cast(id as int) as item_no", "cast(id as string) as custom_id", "true as success",
         "cast(null as string) as data", "cast(null as string) as error", "cast(null as string) as token_usage",
         "timestamp_seconds(10000 - id) as finished_at", "id as seq")
-    job = batches.nested_results(rows, Limits(max_batch_items=50)).first()
-    assert [r.custom_id for r in job.results] == [str(i) for i in range(49, -1, -1)]
+    jobs = {r.batch_job_name: r for r in batches.nested_results(rows, Limits(max_batch_items=50)).collect()}
+    assert [r.custom_id for r in jobs["small"].results] == [str(i) for i in range(49, -1, -1)]
+    assert (jobs["small"].n_results, jobs["small"].error) == (50, None)
+    assert jobs["hot"].results is None and jobs["hot"].n_results == 5000
+    assert jobs["hot"].error.detail == "Batch job has more than 50 items: 5000"
 
 
 def error_rows(spark, count):
@@ -178,11 +182,11 @@ def test_batch_stream_equals_batch_job(spark, tmp_path):
 def test_extraction_from_uploads_to_tables(spark, tmp_path):
     uploads = spark.createDataFrame(
         [("d1", "uae", "r1", T0, 1, 3, None), ("d2", "usa", "r2", T0, 2, 1, None), ("d3", "usa", "r3", T0, 3, 1, (400, "empty_file", "x")),
-         ("d4", "india", "r4", T0, 4, 1, None)],
+         ("d4", "india", "r4", T0, 4, 1, None), ("d5", "france", "r5", T0, 5, 1, None), ("d6", None, "r6", T0, 6, 1, None)],
         "doc_key string, country string, request_id string, occurred_at timestamp, seq bigint, total_pages int, "
         "error struct<status:int,code:string,detail:string>")
     doc_pages = spark.createDataFrame(
-        [(d, 1, "digital", f"Invoice {d} with enough characters in it") for d in ("d1", "d2", "d3")],
+        [(d, 1, "digital", f"Invoice {d} with enough characters in it") for d in ("d1", "d2", "d3", "d5", "d6")],
         "doc_key string, page_no int, layer string, text string")
     body = json.dumps({"message": {"content": '{"invoice_no": "d1", "net_amount": "5.5"}'}})
     responses = spark.createDataFrame([("d1", 200, body)], "doc_key string, http_status int, body string")
@@ -192,7 +196,8 @@ def test_extraction_from_uploads_to_tables(spark, tmp_path):
     assert row.metadata.total_pages == 3 and row.data.net_amount == 5.5 and not row.validation.is_valid
     assert good["usa"].count() == good["india"].count() == 0 and "validation" not in good["usa"].columns
     failed = {r.seq: (r.code, r.http_status) for r in extract.all_errors(replied).collect()}
-    assert failed == {2: ("ollama_service_error", 502), 3: ("empty_file", 400), 4: ("document_extraction_failed", 422)}
+    assert failed == {3: ("empty_file", 400), 4: ("document_extraction_failed", 422), 5: ("invalid_request", 400), 6: ("invalid_request", 400)}
+    assert [r.doc_key for r in extract.pending(replied).collect()] == ["d2"]
     callers = spark.createDataFrame([("d1", " id-1 "), ("d2", "   ")], "doc_key string, invoice_id string")
     assert [r.invoice_id for r in envelopes.completion_envelopes(callers, good["uae"]).collect()] == ["id-1"]
     assert [r.error.code for r in envelopes.invalid_callers(callers).collect()] == ["invalid_invoice_id"]

@@ -1,6 +1,4 @@
 import json
-import random
-import statistics
 
 from pyspark.sql import functions as F
 
@@ -9,72 +7,42 @@ from ledgerloom.operators import layout
 from ledgerloom.sources import ocr
 
 
-def rows_of(boxes):
-    """Plain restatement of the row rules: (top, left, right, height, text)."""
-    height = statistics.median(b[3] for b in boxes)
-    tolerance, right = max(4.0, height * 0.65), max(b[2] for b in boxes)
-    rows = []
-    for box in sorted(boxes, key=lambda b: b[:2]):
-        if rows and abs(box[0] - sum(b[0] for b in rows[-1]) / len(rows[-1])) <= tolerance:
-            rows[-1].append(box)
-        else:
-            rows.append([box])
-    lines = []
-    for row in rows:
-        row.sort(key=lambda b: b[1])
-        line, left, reach = row[0][4], row[0][1], row[0][2]
-        for box in row[1:]:
-            gap, wide = box[1] - reach, right >= 500
-            bar = (
-                gap > max(12.0, height * 2)
-                or (wide and left < right * 0.5 <= box[1] and gap > height)
-                or (wide and box[1] >= right * 0.77 and gap > height * 0.75)
-            )
-            line += (" | " if bar else " ") + box[4]
-            left, reach = box[1], max(reach, box[2])
-        lines.append(line)
-    return "\n".join(lines)
-
-
-def random_pages(count):
-    rnd = random.Random(5)
-    for p in range(count):
-        width, texts, polygons, boxes = rnd.choice([400, 800, 1200]), [], [], []
-        for _ in range(rnd.randint(1, 60)):
-            digits = rnd.choice([0, 1, 3])
-            x, y = round(rnd.uniform(0, width), digits), round(rnd.uniform(0, 150), digits)
-            w, h = round(rnd.uniform(1, 120), 1), rnd.choice([0, 8, 10, 12.5, 14])
-            polygon = [[x, y], [x + w, y], [x + w, y + h], [x, y + h]]
-            if rnd.random() < 0.03:
-                polygon = [[x, y]]
-            text = rnd.choice(["a", "bb", " x ", "   ", "Total"])
-            texts.append(text)
-            polygons.append(polygon)
-            if text.strip() and len(polygon) > 1:
-                ys = [q[1] for q in polygon]
-                boxes.append((min(ys), x, x + w, max(1.0, max(ys) - min(ys)), text.strip()))
-        yield f"d{p}", texts, polygons, rows_of(boxes) if boxes else ""
-
-
-def test_rows_match_brute_force(spark):
+def corners(x, y, width, height):
+    return [[x, y], [x + width, y], [x + width, y + height], [x, y + height]]
+
+
+# Pages drawn by hand: text and (left, top, width, height) of each box, then the text of the page.
+PAGES = {
+    "gaps": ([("Sum", (10, 40, 30, 10)), ("7", (40, 12, 10, 10)), ("No", (10, 10, 20, 10)), ("9.50", (100, 41, 30, 10))],
+             "No 7\nSum | 9.50"),
+    "drift": ([("a", (0, 0, 10, 10)), ("b", (20, 6, 10, 10)), ("c", (40, 9, 10, 10)), ("d", (60, 12, 10, 10))], "a b c\nd"),
+    "wide": ([("Item", (200, 0, 90, 10)), (" Qty ", (302, 0, 30, 10)), ("Price", (560, 0, 40, 10)), ("x", (470, 30, 20, 10)),
+              ("y", (500, 30, 20, 10)), ("u", (470, 60, 20, 10)), ("v", (496, 60, 20, 10))], "Item | Qty | Price\nx | y\nu v"),
+    "narrow": ([("Item", (100, 0, 90, 10)), ("Qty", (202, 0, 30, 10)), ("Price", (460, 0, 30, 10))], "Item Qty | Price"),
+    "overlap": ([("wide", (0, 0, 100, 10)), ("in", (50, 1, 10, 10)), ("next", (118, 0, 10, 10))], "wide in next"),
+    "flat": ([("p", (0, 0, 5, 0)), ("q", (17, 4, 5, 0)), ("r", (35, 4, 5, 0))], "p q | r"),
+    "blank": ([("   ", (0, 0, 9, 9)), ("\u3000", (0, 20, 9, 9))], ""),
+}
+
+
+def test_drawn_pages(spark):
     pages, expected = [], {}
-    for i, (key, texts, polygons, text) in enumerate(random_pages(200)):
+    for i, (key, (boxes, text)) in enumerate(PAGES.items()):
+        texts, polygons = [t for t, _ in boxes] + ["lost"], [corners(*c) for _, c in boxes] + [[[1, 2]]]
         body = {"rec_texts": texts, "rec_polys": polygons}
         if i % 3 == 1:
             body = {"res": {"rec_text": texts, "rec_polys": [], "text_det_polys": polygons}}
-        legacy = [[[q, [t, 0.9]] for q, t in zip(polygons, texts)]]
-        pages.append((key, 1, json.dumps(body), json.dumps(legacy if i % 2 else legacy[0])))
-        expected[key] = text.strip()
-    frame = spark.createDataFrame(pages, "doc_key string, page_no int, body string, legacy string")
-    boxes = ocr.flat_boxes(frame).repartition(7)
-    for result in (
-        ocr.page_texts(frame),
-        ocr.legacy_page_texts(frame, "legacy"),
-    ):
+        items = [[q, [t, 0.9]] for q, t in zip(polygons, texts)]
+        bare = [[]] + [[q, t] for q, t in zip(polygons, texts)]
+        pages.append((key, 1, json.dumps(body), json.dumps(items), json.dumps([items]), json.dumps(bare)))
+        expected[key] = text
+    legacy = ("plain", "wrapped", "bare")
+    frame = spark.createDataFrame(pages, "doc_key string, page_no int, body string, " + ", ".join(f"{n} string" for n in legacy))
+    for result in (ocr.page_texts(frame), *[ocr.legacy_page_texts(frame, n) for n in legacy]):
         assert {r.doc_key: r.text for r in result.collect()} == expected
     filled = {k: v for k, v in expected.items() if v}
-    for pages_of in (layout.pages_from_boxes, layout.pages_from_loose_boxes):
-        assert {r.doc_key: r.text for r in pages_of(boxes).collect()} == filled
+    boxes = ocr.flat_boxes(frame.drop(*legacy)).repartition(7)
+    assert {r.doc_key: r.text for r in layout.pages_from_boxes(boxes).collect()} == filled
 
 
 def test_equal_corners_keep_detection_order(spark):
@@ -98,11 +66,13 @@ def test_crowded_page_gets_an_error_instead_of_a_huge_group(spark):
         "cast(case when id < 5 then id else id - 5 end as int) as ord", "cast(id as double) as top",
         "0D as left", "9D as right", "10D as height", "'x' as text",
     )
-    for pages_of in (layout.pages_from_boxes, layout.pages_from_loose_boxes):
-        rows = {r.doc_key: r for r in pages_of(boxes, limits).collect()}
-        assert rows["small"].text == "x x x x x" and rows["small"].error is None
-        assert rows["crowded"].text is None and rows["crowded"].error.status == 422
-        assert rows["crowded"].box_count == 995
+    rows = {r.doc_key: r for r in layout.pages_from_boxes(boxes, limits).collect()}
+    assert rows["small"].text == "x x x x x" and rows["small"].error is None
+    assert rows["crowded"].text is None and rows["crowded"].error.status == 422
+    assert rows["crowded"].box_count == 995
+    # Gaps in the numbering lose nothing.
+    gaps = boxes.filter("doc_key = 'small'").withColumn("ord", F.col("ord") * 1000)
+    assert [(r.text, r.box_count) for r in layout.pages_from_boxes(gaps, limits).collect()] == [("x x x x x", 5)]
 
 
 def test_blank_page_is_reported(spark):
@@ -110,5 +80,4 @@ def test_blank_page_is_reported(spark):
         [("d", 1, 0, 0.0, 0.0, 1.0, 1.0, "  ")],
         "doc_key string, page_no int, ord int, top double, left double, right double, height double, text string",
     )
-    for pages_of in (layout.pages_from_boxes, layout.pages_from_loose_boxes):
-        assert pages_of(frame).select(F.col("error.status")).first()[0] == 422
+    assert layout.pages_from_boxes(frame).select(F.col("error.status")).first()[0] == 422
