@@ -280,13 +280,21 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     )
 
 
-def near_duplicates(
-    docs: DataFrame, max_bits: int = 4, id_column: str = "doc_id", text_column: str = "text", size: int = 4
-) -> DataFrame:
-    """One row per document: id, ``fingerprint`` in hex, ``component_id``."""
-    prints = written(fingerprints(docs, id_column, text_column, size), "fingerprints")
+def _classes(
+    docs: DataFrame, max_bits: int, id_column: str, text_column: str, size: int, salts: int
+) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints of all rows, and one row per ``fp`` and ``salt`` in use with its ``component_id``.
+
+    The salts part the rows of a fingerprint that many share; one of a single
+    row has a single salt.
+    """
     ident = F.col(quoted(id_column))
-    distinct = written(prints.groupBy("fp").agg(F.min(ident).alias("least")), "distinct")
+    prints = written(
+        fingerprints(docs, id_column, text_column, size).withColumn("salt", F.pmod(F.xxhash64(ident), F.lit(salts)).cast("int")),
+        "fingerprints",
+    )
+    salted = written(prints.groupBy("fp", "salt").agg(F.min(ident).alias("least")), "salted")
+    distinct = written(salted.groupBy("fp").agg(F.min("least").alias("least")), "distinct")
     edges = written(links(distinct.select("fp"), max_bits), "links")
     labels = components(edges)
     joined = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
@@ -294,8 +302,21 @@ def near_duplicates(
     )
     smallest = joined.groupBy("label").agg(F.min("least").alias("component_id"))
     by_print = joined.join(smallest, "label").select("fp", "component_id")
-    return prints.join(by_print, "fp").select(
-        ident, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    return prints, salted.join(by_print, "fp").select("fp", "salt", "component_id")
+
+
+def near_duplicates(
+    docs: DataFrame,
+    max_bits: int = 4,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    size: int = 4,
+    salts: int = 1024,
+) -> DataFrame:
+    """One row per document: id, ``fingerprint`` in hex, ``component_id``."""
+    prints, classes = _classes(docs, max_bits, id_column, text_column, size, salts)
+    return prints.join(classes, ["fp", "salt"]).select(
+        F.col(quoted(id_column)), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
@@ -304,8 +325,8 @@ def one_of_each(docs: DataFrame, max_bits: int = 4) -> DataFrame:
 
     Rows with a null id always stay.
     """
-    classes = near_duplicates(docs, max_bits)
-    chosen = classes.where("doc_id = component_id").select("doc_id").distinct()
+    _, classes = _classes(docs, max_bits, "doc_id", "text", 4, 1024)
+    chosen = classes.select(F.col("component_id").alias("doc_id")).distinct()
     once = Window.partitionBy("doc_id").orderBy(F.length("text"), F.xxhash64("text"))
     apart, back = set_aside(docs, ["_copy"])
     kept = (
