@@ -117,8 +117,14 @@ def failures(measures: DataFrame, rules: HostRules) -> DataFrame:
     )
 
 
-def verdicts(failed: DataFrame, rules: HostRules, host_column: str = "source") -> tuple[DataFrame, dict[str, float]]:
-    """Shrunk failure rates per host and the prior rates of each rule."""
+def verdicts(
+    failed: DataFrame, rules: HostRules, host_column: str = "source", broadcast_bytes: int = 32 << 20
+) -> tuple[DataFrame, dict[str, float]]:
+    """Shrunk failure rates per host and the prior rates of each rule.
+
+    The rates are marked for a broadcast if they take ``broadcast_bytes`` at most, which
+    spares the documents a shuffle by host; else the join is left to adaptive skew splitting.
+    """
     host = F.col(quoted(host_column))
     some = F.col("base_failed") | F.col("_symbols") | F.col("_dup_lines") | F.col("_word_length")
     flags = {**{r: F.col(f"_{r}") for r in SOFT}, "some": some}
@@ -131,6 +137,7 @@ def verdicts(failed: DataFrame, rules: HostRules, host_column: str = "source") -
     row = hosts.agg(
         *[F.avg(F.col(r) / F.col("n")).alias(f"{r}_mean") for r in flags],
         *[F.var_samp(F.col(r) / F.col("n")).alias(f"{r}_var") for r in flags],
+        F.sum(F.octet_length(F.col("_host").cast("string")) + 64).alias("bytes"),
     ).collect()[0]
     prior, shrunk = {}, []
     for r in flags:
@@ -139,7 +146,8 @@ def verdicts(failed: DataFrame, rules: HostRules, host_column: str = "source") -
         weight = min(max(weight, 1.0), rules.max_prior)
         prior[r] = mean
         shrunk.append(((F.col(r) + F.lit(mean * weight)) / (F.col("n") + F.lit(weight))).alias(f"_rate_{r}"))
-    return hosts.select("_host", *shrunk), prior
+    rates = hosts.select("_host", *shrunk)
+    return F.broadcast(rates) if (row["bytes"] or 0) <= broadcast_bytes else rates, prior
 
 
 def judged(
