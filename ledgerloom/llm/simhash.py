@@ -326,7 +326,11 @@ def one_of_each(docs: DataFrame, max_bits: int = 4) -> DataFrame:
     Rows with a null id always stay.
     """
     _, classes = _classes(docs, max_bits, "doc_id", "text", 4, 1024)
-    chosen = classes.select(F.col("component_id").alias("doc_id")).distinct()
+    return keep_first(docs, classes.select(F.col("component_id").alias("doc_id")).distinct())
+
+
+def keep_first(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with a ``doc_id`` in ``chosen``, once each, and those with a null id."""
     once = Window.partitionBy("doc_id").orderBy(F.length("text"), F.xxhash64("text"))
     apart, back = set_aside(docs, ["_copy"])
     kept = (
