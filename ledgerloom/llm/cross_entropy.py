@@ -1,17 +1,18 @@
 """Cross-entropy difference of a target and a background language model.
 
 Both models are bigram models with Dirichlet smoothing towards unigrams, over
-one shared vocabulary: words without case and punctuation, hashed to ``WORDS``
-classes, bigrams to a number of classes that follows the size of the corpus, up
-to ``2 ** MAX_PAIR_BITS``. The target model counts the documents marked as
-target, the background model all documents; background counts are scaled to the
-target's size, so both are smoothed alike. Every document counts in full, and
-partial counts are summed in a shuffle. The fixed bounds on classes bound what
-is sent to the driver and to the executors.
+one shared vocabulary: words without case and punctuation, each known by its
+64-bit hash. Counts are exact and written tables, summed per batch before their
+shuffle; nothing of the vocabulary's size reaches the driver or a broadcast. The
+target model counts the documents marked as target, the background model all
+documents; background counts are scaled to the target's size, so both are
+smoothed alike. Losses are found once per distinct bigram, joined to the
+distinct bigrams of each document and summed per document.
 
 Defined results: a text without words has no tokens and all losses 0. Without a
 target document both models are the background's and all differences are 0.
-Rows with a null id are background. Repeated rows count each time. Other columns
+A word that the models have
+not seen counts 0. Rows with a null id are background. Repeated rows count each time. Other columns
 are ignored.
 """
 
@@ -27,18 +28,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.llm.common import quoted, slices, written
-from ledgerloom.llm.wordhash import IS_PUNCTUATION, mix, text_bytes, words_of
+from ledgerloom.llm.wordhash import IS_PUNCTUATION, text_bytes, words_of
 
-WORDS = 1 << 18
-MAX_PAIR_BITS = 22
-#: Classes in one row of the table of counts; divides the numbers of classes.
-BLOCK = 1 << 14
 #: Weight of the unigram model, in tokens.
 SMOOTHING = 32.0
 
 
-def _classes(column: pa.Array, pair_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Class of each word, of the word before it and of both; row of each word."""
+def _bigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each word, the word before it (0 at a text's start), and its row."""
     data, offsets = text_bytes(column)
     words = words_of(data, offsets, drop=IS_PUNCTUATION)
     before = np.zeros(len(words), np.uint64)
@@ -46,99 +43,84 @@ def _classes(column: pa.Array, pair_bits: int) -> tuple[np.ndarray, np.ndarray,
     first = np.ones(len(words), bool)
     first[1:] = words.text[1:] != words.text[:-1]
     before[first] = 0
-    pair = mix(before * np.uint64(0x9E3779B97F4A7C15) + words.hash) & np.uint64((1 << pair_bits) - 1)
-    low = np.uint64(WORDS - 1)
-    return (words.hash & low).astype(np.int32), (before & low).astype(np.int32), pair.astype(np.int32), words.text
+    return words.hash.view(np.int64), before.view(np.int64), words.text
+
+
+def _distinct(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Position of one row of each distinct key, and the number of the key of each row."""
+    if not len(keys[0]):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = np.lexsort(keys)
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([k[order[1:]] != k[order[:-1]] for k in keys])
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order[new], number
 
 
 @dataclass
 class Models:
-    """Row 0 is the background, row 1 the target."""
-
-    pair_bits: int
-    word: np.ndarray
-    context: np.ndarray
-    pair: np.ndarray
-
-    def losses(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Mean loss per token of each text under both models, and its tokens."""
-        word, before, pair, text = _classes(column, self.pair_bits)
-        rows = len(column)
-        n = np.bincount(text, minlength=rows)
-        out = np.zeros((2, rows))
-        vocabulary = max(1, int((self.word.sum(axis=0) > 0).sum()))
-        for m in (0, 1):
-            unigram = (self.word[m] + 0.5) / (self.word[m].sum() + 0.5 * vocabulary)
-            chance = (self.pair[m][pair] + SMOOTHING * unigram[word]) / (
-                np.maximum(self.context[m][before], self.pair[m][pair]) + SMOOTHING
+    """Written tables of exact counts with columns ``background`` and ``target``, and their totals."""
+
+    pairs: DataFrame
+    words: DataFrame
+    contexts: DataFrame
+    background: int
+    target: int
+    vocabulary: int
+
+    def losses(self, rows: DataFrame) -> DataFrame:
+        """``rows`` of ``before``, ``word`` and pair counts, with the losses under both models."""
+        counted = rows.join(self.words.select("word", *_named("word")), "word", "left").join(
+            self.contexts.select("before", *_named("context")), "before", "left"
+        )
+        tokens = float(self.target or self.background)
+        found = {}
+        for model in ("background", "target"):
+            source = model if self.target else "background"
+            scale = tokens / self.background if source == "background" and self.background else 1.0
+            pair, word, context = (
+                F.coalesce(F.col(name), F.lit(0)) * F.lit(scale) for name in (source, f"word_{source}", f"context_{source}")
             )
-            out[m] = np.bincount(text, -np.log(chance), minlength=rows) / np.maximum(n, 1)
-        return out, n
+            unigram = (word + 0.5) / F.lit(tokens + 0.5 * max(1, self.vocabulary))
+            found[f"{model}_loss"] = -F.log((pair + SMOOTHING * unigram) / (context + SMOOTHING))
+        return counted.select(*rows.columns, *(c.alias(n) for n, c in found.items()))
+
+
+def _named(kind: str) -> list:
+    return [F.col(m).alias(f"{kind}_{m}") for m in ("background", "target")]
 
 
 def learn(docs: DataFrame, target_ids: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> Models:
     """Counts over all of ``docs``; those with an id in ``target_ids`` count for the target, too."""
-    spark = docs.sparkSession
     ident = F.col(quoted(id_column))
     texts = docs.select(ident.alias("id"), F.coalesce(F.col(quoted(text_column)), F.lit("")).alias("text"))
     chosen = target_ids.select(ident.alias("id")).where("id IS NOT NULL").distinct().withColumn("target", F.lit(True))
-    size = texts.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
-    pair_bits = int(np.clip(np.ceil(np.log2(max(size, 1) / 128)), 16, MAX_PAIR_BITS))
-    sizes = (WORDS, WORDS, 1 << pair_bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = [np.zeros((2, s), np.int32) for s in sizes]
         for batch in slices(batches):
-            *classes, text = _classes(batch.column(0), pair_bits)
+            word, before, text = _bigrams(batch.column(0))
             target = np.array(batch.column(1).fill_null(False).to_pylist(), bool)[text]
-            for total, found in zip(sums, classes, strict=True):
-                total[0] += np.bincount(found, minlength=total.shape[1]).astype(np.int32)
-                total[1] += np.bincount(found[target], minlength=total.shape[1]).astype(np.int32)
-        for kind, total in enumerate(sums):
-            at = np.flatnonzero(total[0])
-            for low in range(0, len(at), 1 << 16):
-                part = at[low : low + (1 << 16)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(len(part), kind, np.int32)),
-                        pa.array(part.astype(np.int32)),
-                        pa.array(total[0][part].astype(np.int64)),
-                        pa.array(total[1][part].astype(np.int64)),
-                    ],
-                    names=["kind", "class", "background", "target"],
-                )
-
-    counted = (
+            at, number = _distinct(word, before)
+            totals = np.bincount(number, minlength=len(at)), np.bincount(number[target], minlength=len(at))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(before[at]), pa.array(word[at]), *(pa.array(t.astype(np.int64)) for t in totals)],
+                names=["before", "word", "background", "target"],
+            )
+
+    sums = [F.sum(m).alias(m) for m in ("background", "target")]
+    pairs = written(
         texts.join(chosen, "id", "left")
         .select("text", "target")
-        .mapInArrow(count, "kind int, class int, background long, target long")
-        .groupBy("kind", "class")
-        .agg(F.sum("background").cast("float").alias("background"), F.sum("target").cast("float").alias("target"))
-        .withColumn("block", F.expr(f"class div {BLOCK}").cast("int"))
+        .mapInArrow(count, "before long, word long, background long, target long")
+        .groupBy("before", "word")
+        .agg(*sums),
+        "pairs",
     )
-
-    def pack(rows: pa.Table) -> pa.Table:
-        counts = np.zeros((2, BLOCK), np.float32)
-        at = rows["class"].to_numpy() % BLOCK
-        counts[0, at] = rows["background"].to_numpy()
-        counts[1, at] = rows["target"].to_numpy()
-        return pa.table({"kind": rows["kind"][:1], "block": rows["block"][:1], "counts": pa.array([counts.tobytes()])})
-
-    # The driver reads a few hundred rows of fixed size, part by part.
-    packed = written(
-        counted.groupBy("kind", "block").applyInArrow(pack, "kind int, block int, counts binary"), "class-counts"
-    )
-    arrays = [np.zeros((2, length), np.float32) for length in sizes]
-    for row in packed.toLocalIterator():
-        low = row["block"] * BLOCK
-        arrays[row["kind"]][:, low : low + BLOCK] = np.frombuffer(row["counts"], np.float32).reshape(2, BLOCK)
-    tokens = arrays[0].sum(axis=1, dtype=float)
-    for dense in arrays:
-        if tokens[1] > 0:
-            dense[0] *= tokens[1] / tokens[0]
-        else:
-            dense[1] = dense[0]
-    return Models(pair_bits, *arrays)
+    words = written(pairs.groupBy("word").agg(*sums), "words")
+    contexts = written(pairs.groupBy("before").agg(*sums), "contexts")
+    total = words.agg(*sums, F.count("*").alias("n")).collect()[0]
+    return Models(pairs, words, contexts, total["background"] or 0, total["target"] or 0, total["n"])
 
 
 def scores(docs: DataFrame, models: Models, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -146,22 +128,59 @@ def scores(docs: DataFrame, models: Models, id_column: str = "doc_id", text_colu
 
     The lower the difference, the closer a document is to the target.
     """
-    rows = docs.select(F.col(quoted(id_column)), F.coalesce(F.col(quoted(text_column)), F.lit("")).alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(models)
-    names = ["target_loss", "background_loss", "difference"]
-    schema = T.StructType(
-        [rows.schema[0], T.StructField("n_tokens", T.LongType()), *(T.StructField(n, T.DoubleType()) for n in names)]
+    rows = docs.select(
+        F.col(quoted(id_column)).alias("id"),
+        F.monotonically_increasing_id().alias("row"),
+        F.coalesce(F.col(quoted(text_column)), F.lit("")).alias("text"),
     )
+    fields = [T.StructField(n, T.LongType()) for n in ("row", "before", "word", "n")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            (background, target), n = shared.value.losses(batch.column(1))
+            word, before, text = _bigrams(batch.column(2))
+            at, number = _distinct(word, before, text)
+            n = np.bincount(number, minlength=len(at))
+            # A text without words has one row, without a bigram.
+            blank = np.setdiff1d(np.arange(batch.num_rows), text)
+            own = pa.array(np.concatenate([text[at], blank]))
+            none = pa.nulls(len(blank), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n.astype(np.int64)), *map(pa.array, (target, background, target - background))],
-                names=[id_column, "n_tokens", *names],
+                [
+                    batch.column(0).take(own),
+                    batch.column(1).take(own),
+                    pa.concat_arrays([pa.array(before[at]), none]),
+                    pa.concat_arrays([pa.array(word[at]), none]),
+                    pa.array(np.concatenate([n, np.zeros(len(blank), np.int64)]).astype(np.int64)),
+                ],
+                names=["id", "row", "before", "word", "n"],
             )
 
-    return rows.mapInArrow(run, schema)
+    held = rows.mapInArrow(bigrams, T.StructType([rows.schema[0], *fields]))
+    known = models.losses(models.pairs).select("before", "word", "background_loss", "target_loss")
+    sums = [F.sum(c).alias(c) for c in ("n", "background_loss", "target_loss")]
+    weighted = [(F.col("n") * F.col(c)).alias(c) for c in ("background_loss", "target_loss")]
+    # Bigrams that the models know are summed; the others stay apart.
+    missing = F.col("target_loss").isNull()
+    found = written(
+        held.join(known, ["before", "word"], "left")
+        .select("id", "row", "n", *(F.when(missing, F.col(c)).alias(c) for c in ("before", "word")), *weighted)
+        .groupBy("row", "before", "word")
+        .agg(F.first("id").alias("id"), *sums),
+        "found",
+    )
+    unseen = found.where("word IS NOT NULL").select(
+        "id", "row", "n", "before", "word", F.lit(0).alias("background"), F.lit(0).alias("target")
+    )
+    each = found.where("word IS NULL").select("id", "row", "n", "background_loss", "target_loss")
+    each = each.unionByName(models.losses(unseen).select("id", "row", "n", *weighted))
+    total = each.groupBy("row").agg(F.first("id").alias("id"), *sums)
+    mean = {c: F.coalesce(F.col(c), F.lit(0.0)) / F.greatest(F.col("n"), F.lit(1)) for c in ("target_loss", "background_loss")}
+    return total.select(
+        F.col("id").alias(id_column),
+        F.col("n").alias("n_tokens"),
+        *(c.alias(n) for n, c in mean.items()),
+        (mean["target_loss"] - mean["background_loss"]).alias("difference"),
+    )
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

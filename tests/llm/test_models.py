@@ -112,6 +112,21 @@ def test_cross_entropy_of_odd_tables(docs_of):
     assert cross_entropy.scores(empty, cross_entropy.learn(empty, empty.select("doc_id"))).count() == 0
 
 
+def test_cross_entropy_of_many_words(docs_of):
+    # More distinct words and bigrams than 2 ** 18 classes could keep apart.
+    texts = [" ".join(f"w{k}" for k in range(low, low + 20_000)) for low in range(0, 400_000, 20_000)] + ["w1 w2 new w9"]
+    rows = docs_of(texts)
+    chosen = rows.where("doc_id < 3").select("doc_id")
+    models = cross_entropy.learn(rows.where("doc_id < 20"), chosen)
+    assert models.pairs.count() == models.words.count() == 400_000
+    got = {r.doc_id: r for r in cross_entropy.scores(rows, models).collect()}
+    for k, (n, background, target) in enumerate(plain_losses(texts[:20], [0, 1, 2])):
+        assert got[k].n_tokens == n
+        assert got[k].background_loss == pytest.approx(background, rel=1e-6)
+        assert got[k].target_loss == pytest.approx(target, rel=1e-6)
+    assert got[20].n_tokens == 4 and got[20].target_loss > got[0].target_loss
+
+
 def test_held_out_toxicity(docs, labels):
     rest = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5))
     # Turned labels of held-out rows must not change a score.
