@@ -40,18 +40,18 @@ _WORDS = 4
 _SALTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 
 
-def shingles(column: pa.Array) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
+def shingles(column: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
+    """The sorted distinct hashes of the runs of ``size`` words of each text; a shorter text is one run."""
     data, offsets = text_bytes(column)
     words = words_of(data, offsets)
     bounds = words.bounds(len(column))
-    value, first = windows(words, SHINGLE)
+    value, first = windows(words, size)
     at = np.searchsorted(first, bounds)
     found = []
     for k in range(len(column)):
         own = value[at[k] : at[k + 1]]
         low, high = bounds[k], bounds[k + 1]
-        if low < high < low + SHINGLE:
+        if low < high < low + size:
             own = np.zeros(1, np.uint64)
             for word in words.hash[low:high]:
                 own = mix(own * _SALTS[0] + word)

@@ -6,12 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm import (
+    conversation_repair,
     cross_entropy,
     decontamination,
     host_rules,
     html_text,
+    jaccard_join,
     language_id,
     packing,
+    prefix_trie,
     secret_scan,
     simhash,
     token_counts,
@@ -61,6 +64,19 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.ordered_turns(table(spark, sf_dir, "conversations"))
+    return prefix_trie.prefix_trie(prefix_trie.shared_starts(turns), turns)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repairs(table(spark, sf_dir, "conversations"))
+
+
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_sets(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -74,5 +90,8 @@ QUERIES = {
         op8_cross_entropy,
         op9_toxicity,
         op10_token_counts,
+        op11_prefix_trie,
+        op12_conversation_repair,
+        op13_jaccard_join,
     )
 }
