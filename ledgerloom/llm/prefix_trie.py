@@ -54,14 +54,14 @@ def shared_starts(turns: DataFrame, group: int = 20, most: int = 4) -> DataFrame
     """Conversations rebuilt on the start of their group's first one.
 
     Conversation ``c`` takes the first ``h = crc32(c) % most`` turns of
-    ``c - c % group``, then its own after its first ``h``. Returns ``conv_id``
+    ``c - c % group`` (a negative id's remainder is positive), then its own after its first ``h``. Returns ``conv_id``
     of all conversations and, but for those without turns, ``depth`` and the
     turns' columns.
     """
     sizes = turns.groupBy("conv_id").agg(F.max("position").alias("n"))
     asked = sizes.select(
         "conv_id",
-        (F.col("conv_id") - F.col("conv_id") % group).alias("base"),
+        (F.col("conv_id") - F.pmod("conv_id", F.lit(group))).alias("base"),
         (F.crc32(F.col("conv_id").cast("string")) % most).alias("h"),
     )
     heads = turns.where(F.col("position") < most).withColumnRenamed("conv_id", "base")
