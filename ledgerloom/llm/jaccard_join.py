@@ -11,11 +11,12 @@ In a tile, a bitmap of 1,024 hashed bits stands for each set: an element whose
 bit the other set lacks is not shared, so bit counts bound the overlap from above. Pairs that
 pass are checked exactly by intersecting their sorted sets.
 
-Tiles of more than ``CELL`` sets are dealt to cells. Two rounds compare each
-cell's own sets and check a spanning forest of the candidates, nearest first,
-dealt anew in the second; components found so far are never compared inside.
-The last round meets all cells of the tiles that still hold several components and
-checks every candidate between different ones, so dense groups don't turn into
+Tiles of more than ``CELL`` sets are dealt to cells. The first round compares
+each cell's own sets and checks all candidates where they are few; a tile of one such
+cell is done. Of a dense cell it checks a spanning forest, nearest first, and
+so does the second round for the tiles left, dealt anew; components found so far are
+not compared inside. The last round meets all cells of the tiles that still hold several
+components and checks every candidate between different ones, so dense groups don't turn into
 all pairs and no link is lost. Sets of a tile's largest component meet only the others.
 
 Defined results: words are separated by white space and compared without ASCII
@@ -45,7 +46,7 @@ SHINGLE = 3
 #: A link needs ``100 * shared >= PERCENT * united``.
 PERCENT = 90
 BITS = 1024
-HEADS = 8
+HEADS = 4
 CELL = 1024
 _PART = np.uint64(0x8EBC6AF09C88C6E3)
 _KEY = np.uint64(0x589965CC75374CC3)
@@ -160,34 +161,43 @@ def _members(filed: DataFrame) -> DataFrame:
     return placed.join(shared, "tile").distinct()
 
 
-def _cells(members: DataFrame, salt: int, every: bool) -> DataFrame:
-    """Members of the cells to compare, two lists each; the second is null if the first meets itself."""
+def _dealt(members: DataFrame, salt: int, every: bool) -> DataFrame:
+    """Members of tiles with several labels and the cell or cells of each, ``low`` to ``high``; ``whole`` if it is the only one."""
     labels = members.groupBy("tile", "label").agg(F.count(F.lit(1)).alias("n"))
     tiles = labels.groupBy("tile").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_labels"), F.max_by("label", F.struct("n", "label")).alias("largest"))
     opened = tiles.where("n_labels > 1")
-    member = F.struct("node", "label", "n", "home", "bitmap", "heads")
+    spread = F.xxhash64(F.lit(salt), "node")
     if not every:
-        opened = opened.select("tile", F.ceil(F.col("n") / CELL).cast("int").alias("chunks"))
-        dealt = members.join(opened, "tile").withColumn("chunk", F.pmod(F.xxhash64(F.lit(salt), "node"), F.col("chunks")))
-        own = dealt.groupBy("tile", "chunk").agg(F.collect_list(member).alias("a"))
-        return own.select("tile", "a", F.lit(None).cast(own.schema["a"].dataType).alias("b"))
+        opened = opened.select("tile", F.ceil(F.col("n") / CELL).cast("long").alias("chunks"))
+        cell = F.pmod(spread, "chunks")
+        return members.join(opened, "tile").select("*", cell.alias("low"), cell.alias("high"), (F.col("chunks") == 1).alias("whole"), cell.alias("chunk"))
+    is_large = F.col("label") == F.col("largest")
     sizes = labels.join(opened.select("tile", "largest"), "tile").groupBy("tile", "largest").agg(
-        F.sum(F.when(F.col("label") == F.col("largest"), F.col("n"))).alias("inside"),
-        F.sum(F.when(F.col("label") != F.col("largest"), F.col("n"))).alias("outside"),
+        F.sum(F.when(is_large, F.col("n"))).alias("inside"), F.sum(F.when(~is_large, F.col("n"))).alias("outside")
     )
-    chunks = sizes.select("tile", "largest", *[F.ceil(F.col(c) / CELL).cast("int").alias(c) for c in ("inside", "outside")])
+    chunks = sizes.select("tile", "largest", *[F.ceil(F.col(c) / CELL).cast("long").alias(c) for c in ("inside", "outside")])
     # Chunks of the largest component come after the others' and meet only those.
-    dealt = members.join(chunks, "tile").withColumn("is_large", F.col("label") == F.col("largest"))
-    spread = F.xxhash64(F.lit(salt), "node")
-    dealt = dealt.withColumn("chunk", F.when(F.col("is_large"), F.col("outside") + F.pmod(spread, "inside")).otherwise(F.pmod(spread, "outside")))
-    others = F.sequence(F.lit(0), F.col("outside") - 1)
-    everyone = F.sequence(F.lit(0), F.col("outside") + F.col("inside") - 1)
-    met = dealt.withColumn("other", F.explode(F.when(F.col("is_large"), others).otherwise(everyone)))
-    met = met.withColumns({"low": F.least("chunk", "other"), "high": F.greatest("chunk", "other")})
-    return met.groupBy("tile", "low", "high").agg(
+    dealt = members.join(chunks, "tile").withColumn(
+        "chunk", F.when(is_large, F.col("outside") + F.pmod(spread, "inside")).otherwise(F.pmod(spread, "outside"))
+    )
+    others = F.sequence(F.lit(0).cast("long"), F.col("outside") - 1)
+    everyone = F.sequence(F.lit(0).cast("long"), F.col("outside") + F.col("inside") - 1)
+    met = dealt.withColumn("other", F.explode(F.when(is_large, others).otherwise(everyone)))
+    return met.withColumns({"low": F.least("chunk", "other"), "high": F.greatest("chunk", "other"), "whole": F.lit(True)})
+
+
+def _cells(members: DataFrame, facts: DataFrame, salt: int, every: bool) -> DataFrame:
+    """Members of the cells to compare, two lists each; the second is empty if the first meets itself.
+
+    Sizes, bitmaps and heads join the narrow rows last.
+    """
+    dealt = _dealt(members, salt, every).select("tile", "node", "label", "home", "low", "high", "chunk", "whole").join(facts, "node")
+    heads = F.substring("heads", F.when(F.col("home"), 1).otherwise(1 + 8 * HEADS), F.lit(8 * HEADS))
+    member = F.struct("node", "label", "n", "home", "bitmap", heads.alias("heads"))
+    return dealt.groupBy("tile", "low", "high", "whole").agg(
         F.collect_list(F.when(F.col("chunk") == F.col("low"), member)).alias("a"),
-        F.when(F.col("low") < F.col("high"), F.collect_list(F.when(F.col("chunk") == F.col("high"), member))).alias("b"),
-    ).select("tile", "a", "b")
+        F.collect_list(F.when(F.col("chunk") > F.col("low"), member)).alias("b"),
+    ).select("tile", "a", "b", F.col("low") < F.col("high"), "whole")
 
 
 class _Side:
@@ -199,8 +209,7 @@ class _Side:
         self.home = np.array(field("home").to_pylist(), bool)
         self.bits = np.frombuffer(b"".join(field("bitmap").to_pylist()), np.uint64).reshape(-1, BITS // 64)
         self.set_bits = np.bitwise_count(self.bits).sum(axis=1, dtype=np.int64)
-        both = np.frombuffer(b"".join(field("heads").to_pylist()), np.uint64).reshape(-1, 2, HEADS)
-        self.heads = both[np.arange(len(both)), np.where(self.home, 0, 1)]
+        self.heads = np.frombuffer(b"".join(field("heads").to_pylist()), np.uint64).reshape(-1, HEADS)
 
 
 def _candidates(tile: int, x: _Side, y: _Side, percent: int, block: int = 1 << 20):
@@ -229,28 +238,34 @@ def _candidates(tile: int, x: _Side, y: _Side, percent: int, block: int = 1 << 2
                 yield a, b, x.n[a] + y.n[b] - 2 * shared
 
 
-def _compare(every: bool, percent: int):
+def _compare(every: bool, percent: int, dense: int = 4):
+    """Pairs ``(a, b)`` to check, and the ``tile`` of each cell that is not done by them.
+
+    All candidates, or a forest of them if a cell has more than ``dense`` a set.
+    """
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                tile = batch.column(0)[k].as_py()
+                tile, _, _, two, whole = (c[k].as_py() if n not in (1, 2) else None for n, c in enumerate(batch.columns))
                 x = _Side(batch.column(1)[k].values)
-                y = _Side(batch.column(2)[k].values) if batch.column(2)[k].is_valid else x
-                if not len(x.n) or not len(y.n):
-                    continue
-                found = list(_candidates(tile, x, y, percent))
-                if not found:
-                    continue
-                a, b, apart = (np.concatenate(c) for c in zip(*found))
-                if not every:
+                y = _Side(batch.column(2)[k].values) if two else x
+                found = list(_candidates(tile, x, y, percent)) if len(x.n) and len(y.n) else []
+                a, b, apart = (np.concatenate(c) for c in zip(*found)) if found else [np.zeros(0, np.int64)] * 3
+                if not every and len(a) > dense * len(x.n):
+                    whole = False
                     _, component = np.unique(x.label, axis=0, return_inverse=True)
                     component = component.ravel()
                     order = np.argsort(apart, kind="stable")
                     a, b = a[order], b[order]
                     kept = _Forest(int(component.max()) + 1).joining(component[a], component[b])
                     a, b = a[kept], b[kept]
-                ends = [(min(p, q), max(p, q)) for p, q in zip(x.node[a], y.node[b])]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*ends)], names=["a", "b"])
+                rows = [(min(p, q), max(p, q), None) for p, q in zip(x.node[a], y.node[b])]
+                if not whole:
+                    rows.append((None, None, tile))
+                if rows:
+                    columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.binary(), pa.binary(), pa.int64()))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "tile"])
 
     return compare
 
@@ -291,25 +306,27 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _links(filed: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, size: int) -> DataFrame:
     """Checked links between distinct sets that join all components."""
     members = written(_members(filed), "members")
-    known = classes.join(members.select("node").distinct(), "node", "left_semi")
+    known = written(classes.join(members.select("node").distinct(), "node", "left_semi"), "known")
     sets = written(_sets(docs, known, size), "sets")
-    facts = filed.join(known.select("node", "row"), ["node", "row"], "left_semi").select("node", "n", "bitmap", "heads").dropDuplicates(["node"])
-    members = written(members.join(facts, "node"), "members")
+    facts = filed.join(known.select("node", "row"), ["node", "row"], "left_semi").select("node", "n", "bitmap", "heads")
+    facts = written(facts.dropDuplicates(["node"]), "facts")
+    labelled = members.withColumn("label", F.col("node"))
     tested = found = None
     for round_, every in enumerate((False, False, True)):
-        labelled = members.withColumn("label", F.col("node"))
-        if found is not None:
-            labels = components(found).withColumnsRenamed({"label": "joined"})
-            labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("joined", "node")).drop("joined")
-            labelled = written(labelled, "labelled")
-        pairs = _cells(labelled, round_, every).mapInArrow(_compare(every, percent), "a binary, b binary").distinct()
+        met = _cells(labelled, facts, round_, every).mapInArrow(_compare(every, percent), "a binary, b binary, tile long")
+        met = written(met.distinct(), "met")
+        pairs = met.where("a IS NOT NULL").select("a", "b")
         if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
+            pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         new = written(_linked(pairs, sets, percent), "links")
         tested = pairs if tested is None else tested.unionByName(pairs)
         found = new if found is None else found.unionByName(new)
-    return found
+        if every:
+            return found
+        # Tiles that are not done, with the components found so far.
+        rest = labelled.join(met.where("tile IS NOT NULL").select("tile"), "tile", "left_semi").drop("label")
+        labels = components(found)
+        labelled = written(rest.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
 
 
 def similar_sets(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, salts: int = 1024) -> DataFrame:
