@@ -6,8 +6,12 @@ made from the templates below, over candidate length, character transitions,
 dictionary coverage, path and neighbouring words. Its trees become one column
 expression, so whole tables are scored in the scan, without a shuffle.
 
-Defined results: null and empty texts have no findings. Null ids and repeated
-rows are scanned like any other row. Other columns pass through ``redacted``
+Texts are split once per row: a generator keeps filters and lambdas from repeating the split.
+
+Defined results: null and empty texts have no findings, an empty table has none.
+Null ids and repeated rows are scanned like any other row; equal secrets of a text
+are found each. Very long texts are scanned whole, in time that grows with their
+length. Other columns, also those named like inner ones, pass through ``redacted``
 unchanged; ``n_chars``, if there, becomes the length of the redacted text.
 """
 
@@ -23,10 +27,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import quoted, set_aside
+from ledgerloom.operators.settle import settle
 
-#: Long runs of key characters, and values of at least eight characters behind ``=`` or ``:``.
-CANDIDATE = r"[A-Za-z0-9_+/=-]{16,}|(?<=[=:][ \"']{0,2})[^\s\"'=:,;<>(){}\[\]|*#&]{8,}"
-_SPLIT = "\u0001"
+#: Quoted values up to the closing quote behind ``=`` or ``:``, long runs of key characters, and
+#: other values of at least eight characters behind ``=`` or ``:``.
+CANDIDATE = (
+    r"(?<=[=:] ?\")[^\s\"\x01\x02]{8,}(?=\")|(?<=[=:] ?')[^\s'\x01\x02]{8,}(?=')"
+    r"|[A-Za-z0-9_+/=-]{16,}|(?<=[=:][ \"']{0,2})[^\s\"'=:,;<>(){}\[\]|*#&\x01\x02]{8,}"
+)
+#: Stands around candidates; one in the text itself is told by ``_KEPT`` behind it.
+_SPLIT, _KEPT = "\u0001", "\u0002"
 _BEFORE, _AFTER = 48, 24
 _SECRET_WORDS = "token|secret|passw|passphrase|pwd|api.?key|apikey|access.?key|private.?key|auth|bearer|credential|signing"
 _HARMLESS_WORDS = (
@@ -70,8 +80,10 @@ FEATURES = [
 
 def parts(text: Column) -> Column:
     """The text split at its candidates, which stand at the odd places counted from zero."""
-    marked = F.regexp_replace(F.translate(text, _SPLIT, " "), CANDIDATE, f"{_SPLIT}$0{_SPLIT}")
-    return F.split(marked, _SPLIT)
+    marked = F.regexp_replace(F.replace(text, F.lit(_SPLIT), F.lit(_SPLIT + _KEPT)), CANDIDATE, f"{_SPLIT}$0{_SPLIT}")
+    split = F.split(marked, f"{_SPLIT}(?!{_KEPT})")
+    restored = F.transform(split, lambda p: F.replace(p, F.lit(_SPLIT + _KEPT), F.lit(_SPLIT)))
+    return F.when(text.contains(_SPLIT), restored).otherwise(split)
 
 
 def _share(text: Column, characters: str, length: Column) -> Column:
@@ -206,7 +218,7 @@ def score(forest: list, found: Column) -> Column:
 def scanned(docs: DataFrame, forest: list, text_column: str = "text") -> DataFrame:
     """``docs`` with ``_split``, its parts, and ``_scores``, one per candidate; both null without candidates."""
     split = parts(F.col(quoted(text_column)))
-    with_parts = docs.withColumn("_split", split)
+    with_parts = settle(docs.withColumn("_split", split), "_split")
     places = F.sequence(F.lit(1), F.size("_split") - 2, F.lit(2))
     with_features = with_parts.withColumn(
         "_found",
@@ -241,7 +253,7 @@ def findings(
     The secret itself is not returned.
     """
     block = 512
-    rows = scanned(docs.select(quoted(id_column), quoted(text_column)), forest, text_column).where("_scores IS NOT NULL")
+    rows = scanned(docs.select(quoted(id_column), quoted(text_column)), forest, text_column).where(F.size("_split") > 1)
     summed = rows.select(quoted(id_column), "_split", "_scores", _starts(F.col("_split")).alias("_sums"))
 
     def start(k: Column) -> Column:

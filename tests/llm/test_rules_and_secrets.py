@@ -82,11 +82,63 @@ def test_secret_spans_and_redaction(spark, docs_of):
     rows = {r.doc_id: r for r in out.collect()}
     assert [rows[k].text for k in range(3)] == texts[:3] and rows[0].n_chars == 0
     assert rows[3].text == 'é token = "[SECRET]"\nmore' and rows[3].n_chars == len(rows[3].text)
-    assert key not in rows[4].text and key not in rows[5].text and key not in rows[None].text
+    assert rows[4].text == texts[4].replace(key, "[SECRET]") and key not in rows[5].text and key not in rows[None].text
     assert rows[5].text == long.replace(key, "[SECRET]")
     assert secret_scan.findings(docs_of([]), forest).count() == 0
 
 
+def plain_parts(text):
+    """The text cut at its candidates, by Python's own search."""
+    quoted = r"(?:(?<=[=:]\")|(?<=[=:] \"))[^\s\"\x01\x02]{8,}(?=\")|(?:(?<=[=:]')|(?<=[=:] '))[^\s'\x01\x02]{8,}(?=')"
+    behind = "|".join(f"(?<=[=:]{q})" for q in ("", "[ \"']", "[ \"']{2}"))
+    pattern = re.compile(quoted + r"|[A-Za-z0-9_+/=-]{16,}|(?:" + behind + r")[^\s\"'=:,;<>(){}\[\]|*#&\x01\x02]{8,}", re.ASCII)
+    found, at = [], 0
+    for m in pattern.finditer(text):
+        found += [text[at : m.start()], m[0]]
+        at = m.end()
+    return [*found, text[at:]]
+
+
+def plain_score(forest, row):
+    def value(node):
+        while isinstance(node, list):
+            node = node[2] if row[node[0]] <= node[1] else node[3]
+        return node
+
+    return sum(map(value, forest)) / len(forest)
+
+
+def test_spans_and_scores_against_plain_python(spark, docs_of, sf):
+    """Spans by Python's search; scores by walking the trees over features computed in rows of their own."""
+    forest = secret_scan.train(spark)
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    texts += ['password = "Ab3#kL9x!Qz7"', "pwd: 'a;b(c)d,e{f}'", 'x="12345678" y=abcdefgh,ijk', "\x01\x02 token=\x01abcdefghij\x02", "a=b=" * 20]
+    want, rows = {}, []
+    for doc, text in enumerate(texts):
+        split, at = plain_parts(text), 0
+        for k, part in enumerate(split):
+            if k % 2:
+                want[(doc, at, len(part))] = part
+                rows.append((doc, at, part, split[k - 1][-48:], split[k + 1][:24]))
+            at += len(part)
+    each = spark.createDataFrame(rows, "doc_id long, start long, part string, before string, after string")
+    each = each.select("doc_id", "start", secret_scan.features(F.col("part"), F.col("before"), F.col("after")).alias("f")).collect()
+    scores = {(r.doc_id, r.start): plain_score(forest, r.f.asDict()) for r in each}
+    got = secret_scan.findings(docs_of(texts), forest).collect()
+    assert {(r.doc_id, r.start, r.length) for r in got} == set(want) and len(got) == len(want)
+    for r in got:
+        assert r.sha256 == hashlib.sha256(want[(r.doc_id, r.start, r.length)].encode()).hexdigest()
+        assert abs(r.score - scores[(r.doc_id, r.start)]) < 1e-9
+    assert "Ab3#kL9x!Qz7" in want.values() and "a;b(c)d,e{f}" in want.values()
+
+
+def test_texts_are_split_once(spark, docs_of):
+    forest = secret_scan.train(spark)
+    for df in (secret_scan.findings(docs_of(["a"]), forest), secret_scan.redacted(docs_of(["a"]), forest)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("split(regexp_replace(replace(") <= 2
+
+
 def test_native_plans(spark, docs_of, capsys):
     docs = docs_of(["a"])
     forest = secret_scan.train(spark)
