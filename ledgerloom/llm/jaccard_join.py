@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import slices, written
 from ledgerloom.llm.near_copies import shingles
 from ledgerloom.llm.simhash import _Forest, components
-from ledgerloom.llm.wordhash import mix
+from ledgerloom.llm.wordhash import bitmap, mix
 
 SHINGLE = 3
 #: A link needs ``100 * shared >= PERCENT * united``.
@@ -106,12 +106,6 @@ def _bands(percent: int) -> Bands:
     return Bands(percent)
 
 
-def bitmap(hashes: np.ndarray) -> bytes:
-    bits = np.zeros(BITS, bool)
-    bits[(mix(hashes) % np.uint64(BITS)).astype(np.int64)] = True
-    return np.packbits(bits).tobytes()
-
-
 def _node(hashes: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(hashes.tobytes())
 
@@ -132,7 +126,7 @@ def _filed(docs: DataFrame, percent: int, size: int) -> DataFrame:
                 nodes.append(_node(own))
                 sizes.append(len(own))
                 places = [bands.tiles(own, b) for b in bands.of(len(own))]
-                maps.append(bitmap(own) if places else b"")
+                maps.append(bitmap(own, BITS) if places else b"")
                 first = np.zeros((2, HEADS), np.uint64)
                 for k, place in enumerate(places):
                     first[k, : len(place)] = place[:HEADS]

@@ -8,13 +8,18 @@ leading bits, twelve at most, and all members of a group are compared. A pair at
 similarity 0.8 shares the leading bits of some reading with a chance of 0.99.
 
 Similarity is checked on the whole sets. The first pass checks a spanning forest
-of the candidates of each group, the second all candidates that the first has
-left apart, so that dense groups never turn into all pairs and yet no candidate
+of the candidates of each group, the second the candidates that the first has left
+apart. There a size and a bitmap of hashed shingles stand for each set: bit counts
+bound the overlap from above, and only pairs that may reach the similarity are
+handed on, each from the first reading that it shares. Texts of a dense group
+below the similarity are thus compared inside their tasks, and no candidate
 that could join two components is dropped unchecked.
 
 Defined results: words are separated by white space and compared without ASCII
 case; a text of one to four words is one shingle; null and empty texts are
-copies of each other. Rows with a null id link others and always stay.
+copies of each other. Rows with a null id link others and always stay. Of repeated
+rows one stays, of different texts with one id the shortest. Very long texts
+count whole. An empty table gives an empty table. Other columns, also those named like inner ones, stay as they are.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import slices, written
 from ledgerloom.llm.simhash import _Forest, components, keep_first
-from ledgerloom.llm.wordhash import mix, text_bytes, windows, words_of
+from ledgerloom.llm.wordhash import bitmap, mix, text_bytes, windows, words_of
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -37,6 +42,8 @@ SIMILARITY = 0.8
 MAX_BITS = 64
 TURNS = 32
 _WORDS = 4
+#: Bits of the bitmap that bounds overlaps.
+_BITS = 2048
 _SALTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 
 
@@ -117,36 +124,54 @@ def _sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     return rows.mapInArrow(compute, "key long, set array<long>").dropDuplicates(["key"])
 
 
+def _leading(codes: np.ndarray, turn: int, bits: int) -> np.ndarray:
+    """The first ``bits`` of each code from the turn's starting bit."""
+    at = turn * (64 * _WORDS // TURNS)
+    word, shift = codes[:, at // 64], np.uint64(at % 64)
+    if shift:
+        further = codes[:, (at // 64 + 1) % _WORDS]
+        word = (word << shift) | (further >> (np.uint64(64) - shift))
+    return word >> np.uint64(64 - bits)
+
+
+def sketches(sets: DataFrame) -> DataFrame:
+    """``key`` and the size and bitmap of its set, as bytes."""
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for k in range(batch.num_rows):
+                own = batch.column(1)[k].values.to_numpy().view(np.uint64)
+                made.append(np.int64(len(own)).tobytes() + bitmap(own, _BITS))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["key", "sketch"])
+
+    return sets.select("key", "set").mapInArrow(compute, "key long, sketch binary")
+
+
 def candidates(codes: DataFrame, every: bool, group_rows: int = 64, chunk_rows: int = 2048) -> DataFrame:
     """Pairs of keys ``(a, b)`` within ``MAX_BITS`` that share the leading bits of a reading.
 
-    With ``every``, all pairs of different ``label``; else a spanning forest of
+    With ``every``, all pairs of different ``label`` whose ``sketch`` leaves the
+    similarity possible (a null one always does); else a spanning forest of
     each group. A group over ``chunk_rows`` is dealt to cells that hold two of
     its chunks each, so every chunk meets every other.
     """
     total = codes.count()
     bits = int(np.clip(np.ceil(np.log2(max(2, total) / group_rows)), 1, 12))
     label = F.col("label") if every else F.col("key")
+    sketch = F.col("sketch") if "sketch" in codes.columns else F.lit(None).cast("binary")
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(-1, _WORDS)
-            step = 64 * _WORDS // TURNS
-            turns = []
-            for t in range(TURNS):
-                word, shift = flat[:, t * step // 64], np.uint64(t * step % 64)
-                further = flat[:, (t * step // 64 + 1) % _WORDS]
-                if shift:
-                    word = (word << shift) | (further >> (np.uint64(64) - shift))
-                turns.append((word >> np.uint64(64 - bits)).astype(np.int64) * TURNS + t)
-            groups = np.stack(turns, axis=1)
+            groups = np.stack([_leading(flat, t, bits).astype(np.int64) * TURNS + t for t in range(TURNS)], axis=1)
             groups = pa.ListArray.from_arrays(np.arange(len(groups) + 1, dtype=np.int32) * TURNS, pa.array(groups.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, groups], names=["key", "code", "label", "groups"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, groups], names=["key", "code", "label", "sketch", "groups"])
 
     spread = (
-        codes.select("key", "code", label.alias("label"))
-        .mapInArrow(lead, "key long, code binary, label long, groups array<long>")
-        .select("key", "code", "label", F.explode("groups").alias("grp"))
+        codes.select("key", "code", label.alias("label"), sketch.alias("sketch"))
+        .mapInArrow(lead, "key long, code binary, label long, sketch binary, groups array<long>")
+        .select("key", "code", "label", "sketch", F.explode("groups").alias("grp"))
     )
     sizes = spread.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1")
     sizes = sizes.select("grp", F.ceil(F.col("n") / chunk_rows).cast("int").alias("chunks"))
@@ -155,13 +180,25 @@ def candidates(codes: DataFrame, every: bool, group_rows: int = 64, chunk_rows:
         .withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         .groupBy("grp", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"))
-        .agg(F.collect_list(F.struct("key", "code", "label")).alias("members"))
-        .select("members")
+        .agg(F.collect_list(F.struct("key", "code", "label", "sketch")).alias("members"))
+        .select("members", (F.col("grp") % TURNS).alias("turn"))
     )
-    return cells.mapInArrow(_compare(every), "a long, b long").distinct()
+    return cells.mapInArrow(_compare(every, bits), "a long, b long").distinct()
 
 
-def _compare(every: bool, block: int = 1 << 20):
+def _within_reach(sketch: list[bytes | None], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether size and bitmap leave the similarity possible, per pair."""
+    width = 8 + _BITS // 8
+    known = np.array([x is not None for x in sketch])
+    flat = np.frombuffer(b"".join(x or bytes(width) for x in sketch), np.uint64).reshape(len(sketch), -1)
+    size, bits = flat[:, 0].astype(np.int64), flat[:, 1:]
+    set_bits = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+    common = np.bitwise_count(bits[a] & bits[b]).sum(axis=1, dtype=np.int64)
+    shared = np.minimum(size[a] - set_bits[a], size[b] - set_bits[b]) + common
+    return ~(known[a] & known[b]) | (shared >= SIMILARITY * (size[a] + size[b] - shared) - 1e-6)
+
+
+def _compare(every: bool, bits: int, block: int = 1 << 20):
     def pairs(codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         n = len(codes)
         step = max(1, block // n)
@@ -173,21 +210,34 @@ def _compare(every: bool, block: int = 1 << 20):
             above = a + low < b
             yield a[above] + low, b[above]
 
+    def left_apart(a, b, codes, labels, sketch, turn) -> np.ndarray:
+        kept = np.flatnonzero(labels[a] != labels[b])
+        for low in range(0, len(kept), block // 64):
+            part = kept[low : low + block // 64]
+            ok = _within_reach(sketch, a[part], b[part])
+            part = part[ok]
+            unlike = codes[a[part]] ^ codes[b[part]]
+            first = np.ones(len(part), bool)
+            for earlier in range(turn):
+                first &= _leading(unlike, earlier, bits) != 0
+            yield part[first]
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                members = batch.column(0)[k].values
+                members, turn = batch.column(0)[k].values, batch.column(1)[k].as_py()
                 keys = members.field("key").to_numpy()
                 labels = members.field("label").to_numpy()
+                sketch = members.field("sketch").to_pylist()
                 codes = np.frombuffer(b"".join(members.field("code").to_pylist()), np.uint64).reshape(-1, _WORDS)
                 forest = _Forest(len(keys))
                 for a, b in pairs(codes):
-                    kept = np.flatnonzero(labels[a] != labels[b]) if every else forest.joining(a, b)
-                    if len(kept):
-                        x, y = keys[a[kept]], keys[b[kept]]
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"]
-                        )
+                    for kept in left_apart(a, b, codes, labels, sketch, turn) if every else [forest.joining(a, b)]:
+                        if len(kept):
+                            x, y = keys[a[kept]], keys[b[kept]]
+                            yield pa.RecordBatch.from_arrays(
+                                [pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"]
+                            )
 
     return compare
 
@@ -210,7 +260,8 @@ def similar_pairs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sets = written(_sets(docs, near), "sets")
     links = written(_similar(first, sets), "similar")
     labels = components(links).withColumnRenamed("node", "key")
-    named = written(near.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key")), "named")
+    named = near.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    named = written(named.join(sketches(sets), "key", "left"), "named")
     rest = candidates(named, every=True).join(first, ["a", "b"], "left_anti")
     return codes, links.unionByName(written(_similar(rest, sets), "similar"))
 

@@ -48,6 +48,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def bitmap(hashes: np.ndarray, bits: int) -> bytes:
+    """``bits`` bits, those set that an element is hashed to."""
+    found = np.zeros(bits, bool)
+    found[(mix(hashes) % np.uint64(bits)).astype(np.int64)] = True
+    return np.packbits(found).tobytes()
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts and the offset of each text; null is empty."""
     column = column.cast(pa.large_binary())

@@ -62,3 +62,46 @@ def test_chunks_of_a_large_group_all_meet(spark, docs_of):
 def test_null_ids_stay(docs_of):
     docs = docs_of([(3, "one two three"), (None, "one two three"), (None, "x"), (2, "One two three"), (2, "One two three")])
     assert sorted(str(r.doc_id) for r in near_copies.one_of_each(docs).collect()) == ["2", "None", "None"]
+
+
+def test_dense_texts_below_the_similarity_make_few_pairs(docs_of):
+    """Texts at about 0.7 of each other are compared, but not handed on as pairs."""
+    rng = random.Random(6)
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for k in range(80):
+        words = list(base)
+        for at in rng.sample(range(0, 150, 6), 6):
+            words[at] = f"x{k}y{at}"
+        rows.append(" ".join(words))
+    docs = docs_of(rows)
+    codes = near_copies._codes(docs)
+    sets = near_copies._sets(docs, codes)
+    named = codes.withColumn("label", F.col("key")).join(near_copies.sketches(sets), "key")
+    handed = near_copies.candidates(named, True, 4, 16).collect()
+    assert len(handed) < 0.05 * 80 * 79 / 2
+    kept = sorted(r.doc_id for r in corpus_pipeline.near_dedup(docs.sparkSession, docs, "").collect())
+    assert kept == plain_kept(list(enumerate(rows)))
+
+
+def test_empty_table_long_texts_repeats_and_clashing_columns(docs_of):
+    assert near_copies.one_of_each(docs_of([])).count() == 0
+    long = "".join(f"w{k} " for k in range(30_000))
+    docs = docs_of([(1, "a b c d e f"), (1, "a b c d e f"), (5, long + "x"), (4, long + "y"), (7, None)])
+    docs = docs.withColumn("key", F.lit("k")).withColumn("label", F.lit(2)).withColumn("code", F.lit(None).cast("int"))
+    out = near_copies.one_of_each(docs)
+    assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [1, 4, 7]
+
+
+def test_sketches_never_rule_out_similar_sets():
+    import numpy as np
+
+    from ledgerloom.llm.wordhash import bitmap
+
+    rng = np.random.default_rng(1)
+    for size in (1, 5, 40, 300, 5000):
+        for part in (0.8, 0.85, 0.95, 1.0):
+            shared = rng.integers(0, 1 << 63, max(1, int(np.ceil(part * size))), dtype=np.uint64)
+            other = np.concatenate([shared, rng.integers(0, 1 << 63, size - len(shared), dtype=np.uint64)])
+            made = [np.int64(len(x)).tobytes() + bitmap(x, near_copies._BITS) for x in (shared, other)]
+            assert near_copies._within_reach(made, np.array([0]), np.array([1])).all()
