@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.times import duration_ms, elapsed_seconds
 from ledgerloom.limits import DEFAULT, Limits
+from ledgerloom.operators.scans import running
 
 
 def open_requests(events: DataFrame, now: Column) -> DataFrame:
@@ -30,6 +31,30 @@ def open_requests(events: DataFrame, now: Column) -> DataFrame:
     )
 
 
+def slot_occupancy(events: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
+    """Active requests and free slots at every start and end of a request.
+
+    A sweep over marks of +1 and -1 in time order; at equal times ends come
+    before starts. Its sums run over range partitions, so the length of the
+    history doesn't matter. Ends without a start, or before it, are no marks.
+    """
+    started, ended = F.col("kind") == "start", F.col("kind") == "end"
+    requests = events.groupBy("token").agg(
+        F.min(F.when(started, F.col("ts"))).alias("_start"), F.max(F.when(ended, F.col("ts"))).alias("_end")
+    )
+    begins = F.struct(F.col("_start").alias("ts"), F.lit("start").alias("kind"), F.lit(1).cast("bigint").alias("_mark"))
+    ends = F.struct(F.col("_end").alias("ts"), F.lit("end").alias("kind"), F.lit(-1).cast("bigint").alias("_mark"))
+    has_end = F.col("_end") >= F.col("_start")
+    marks = (
+        requests.filter(F.col("_start").isNotNull())
+        .select("token", F.explode(F.when(has_end, F.array(begins, ends)).otherwise(F.array(begins))).alias("_at"))
+        .select("token", "_at.*")
+    )
+    swept = running(marks, [], ["ts", "_mark", "token"], {"active_count": F.col("_mark")}, "occupancy")
+    free = F.greatest(F.lit(0), F.lit(limits.max_concurrent) - F.col("active_count"))
+    return swept.select("ts", "token", "kind", "active_count", free.alias("available_slots"))
+
+
 def recent_errors(errors: DataFrame, limits: Limits = DEFAULT,
                   limit: int | None = None) -> DataFrame:
     """Newest errors first. Each task keeps only its own newest ones."""

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.identifiers import pan_from_gstin
 from ledgerloom.functions.money import MONEY, sum_of, zero
 from ledgerloom.functions.text import is_blank
+from ledgerloom.operators.scans import numbered
 
 _SUMS = {"taxable_amount": "_item_sum", "cgst_amount": "_cgst_sum", "sgst_amount": "_sgst_sum"}
 _ZERO_DEFAULTS = ("igst_amount", "discount", "state_cess", "other_charges")
@@ -28,6 +29,16 @@ def fill_serial_numbers(items: Column) -> Column:
     )
 
 
+def number_items(items: DataFrame, key: str, order: list) -> DataFrame:
+    """``fill_serial_numbers`` for flat items: blanks get their position in the invoice.
+
+    Positions come from range partitions, so an invoice of any length is numbered by many tasks.
+    """
+    placed = numbered(items, [key], order, "_position", "serials")
+    filled = F.when(is_blank(F.col("sr_no")), F.col("_position").cast("string")).otherwise(F.col("sr_no"))
+    return placed.withColumn("sr_no", filled).drop("_position")
+
+
 def reconcile_headers(invoices: DataFrame) -> DataFrame:
     """Header rules over flat columns and the sums ``_item_sum, _cgst_sum, _sgst_sum``."""
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.errors import EXTRACTION_FAILED, NO_READABLE_TEXT, error, no_error
 from ledgerloom.functions.text import compact, strip
 from ledgerloom.limits import DEFAULT, Limits
+from ledgerloom.operators.scans import numbered
 
 # Names of the two ways a text was obtained.
 DIGITAL_METHOD = "pymupdf"
@@ -18,6 +19,11 @@ def page_header(page_no: Column) -> Column:
     return F.concat(F.lit("--- PAGE "), page_no.cast("string"), F.lit(" ---"))
 
 
+def number_page_rows(rows: DataFrame, key: str, order: list) -> DataFrame:
+    """Flat page rows with ``page_no`` from 1 in ``order``; a long document is numbered by many tasks."""
+    return numbered(rows, [key], order, "page_no", "page-numbers").withColumn("page_no", F.col("page_no").cast("int"))
+
+
 def number_pages(documents: DataFrame, pages: str = "pages") -> DataFrame:
     """One row per element of an array of page texts, numbered from 1."""
     return (
@@ -37,45 +43,38 @@ def _joined(pages: Column, page_end: str) -> Column:
 
 
 def _gather(doc_pages: DataFrame, body: Column, limits: Limits) -> DataFrame:
-    """One row per document with the pages of both layers.
+    """One row per document with the pages of both layers, in one aggregate.
 
-    A document with more pages in a layer than the limit is rejected as a whole:
-    it is found by partial counts, and its pages are never gathered.
+    Pages are numbered from 1 and unique per layer, so a document whose largest number
+    is over the limit has too many pages. It is rejected as a whole; of no
+    document are more pages gathered than the limit allows.
     """
     raw = strip(F.col("text"))
     is_ocr = F.col("layer") == "ocr"
+    allowed = F.col("page_no") <= limits.max_pdf_pages
     page = F.struct(F.col("page_no").alias("page_no"), body.alias("body"))
     digital = ~is_ocr & (raw != "")
     # Length of the joined digital text: header, newline, body, blank line.
     digital_length = F.length(page_header(F.col("page_no"))) + 1 + F.length(raw) + 2
-    counts = doc_pages.groupBy("doc_key").agg(
+    return doc_pages.groupBy("doc_key").agg(
         F.max("page_no").alias("total_pages"),
-        F.greatest(F.count_if(is_ocr), F.count_if(~is_ocr)).alias("_pages"),
-    )
-    large = counts.filter(F.col("_pages") > limits.max_pdf_pages)
-    gathered = (
-        doc_pages.join(large.select("doc_key"), "doc_key", "left_anti")
-        .groupBy("doc_key")
-        .agg(
-            F.max("page_no").alias("total_pages"),
-            F.greatest(F.count_if(is_ocr), F.count_if(~is_ocr)).alias("_pages"),
-            F.collect_list(F.when(digital, page)).alias("_digital"),
-            F.collect_list(F.when(is_ocr, page)).alias("_ocr"),
-            F.coalesce(F.sum(F.when(digital, digital_length)) - 2, F.lit(0)).alias("_digital_chars"),
-            F.count_if(is_ocr).alias("_ocr_pages"),
-            F.count_if(is_ocr & (raw == "")).alias("_blank_ocr_pages"),
-        )
+        F.collect_list(F.when(allowed & digital, page)).alias("_digital"),
+        F.collect_list(F.when(allowed & is_ocr, page)).alias("_ocr"),
+        F.coalesce(F.sum(F.when(digital, digital_length)) - 2, F.lit(0)).alias("_digital_chars"),
+        F.count_if(is_ocr).alias("_ocr_pages"),
+        F.count_if(is_ocr & (raw == "")).alias("_blank_ocr_pages"),
     )
-    return gathered.unionByName(large, allowMissingColumns=True)
 
 
 def _routed(gathered: DataFrame, page_end: str, limits: Limits) -> DataFrame:
     """Digital text where it is long enough, else OCR for the whole document."""
-    used_ocr = F.col("_digital_chars") < limits.min_digital_chars
+    too_many = F.col("total_pages") > limits.max_pdf_pages
+    # No way is taken for a document with too many pages.
+    used_ocr = F.when(~too_many, F.col("_digital_chars") < limits.min_digital_chars)
     unreadable = used_ocr & ((F.col("_ocr_pages") == 0) | (F.col("_blank_ocr_pages") > 0))
     failure = (
         F.when(
-            F.col("_pages") > limits.max_pdf_pages,
+            too_many,
             error(413, "too_many_pages", f"PDF exceeds the {limits.max_pdf_pages}-page limit"),
         )
         .when(unreadable, error(422, EXTRACTION_FAILED, NO_READABLE_TEXT))
@@ -86,7 +85,6 @@ def _routed(gathered: DataFrame, page_end: str, limits: Limits) -> DataFrame:
         "doc_key",
         "total_pages",
         used_ocr.alias("used_ocr"),
-        # No way was taken for a document with too many pages.
         F.when(used_ocr, F.lit(OCR_METHOD))
         .when(~used_ocr, F.lit(DIGITAL_METHOD))
         .alias("extraction_method"),

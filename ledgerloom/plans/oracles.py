@@ -64,12 +64,12 @@ ORACLES: dict[str, str] = {}
 
 _HEADER = "'--- PAGE ' || cast(page_no as varchar) || ' ---' || chr(10)"
 
+_BINDERS = " union all ".join(
+    f"select {key} as doc_key, cast({page} as integer) as page_no, {strip('text')} as body from conversations" for key, page in d.BINDERS
+)
 ORACLES["page_assembly"] = f"""
-with pages as (
-  select cast(conv_id as varchar) as doc_key, cast(turn + 1 as integer) as page_no, {strip('text')} as body
-  from conversations
-), docs as (
-  select doc_key, max(page_no) as total_pages, count(*) > 5 as too_many,
+with pages as ({_BINDERS}), docs as (
+  select doc_key, max(page_no) as total_pages, max(page_no) > 20 as too_many,
     string_agg({_HEADER} || body, chr(10) || chr(10) order by page_no) filter (body <> '') as joined
   from pages group by doc_key
 ), routed as (select *, coalesce(length(joined), 0) < 40 as scanned from docs)
@@ -80,16 +80,24 @@ select doc_key, total_pages,
   cast(case when not too_many and not scanned then length(joined) end as integer) as character_count,
   cast(case when too_many then 413 when scanned then 422 end as integer) as status,
   case when too_many then 'too_many_pages' when scanned then 'document_extraction_failed' end as code,
-  case when too_many then 'PDF exceeds the 5-page limit' when scanned then '{UNREADABLE}' end as detail
+  case when too_many then 'PDF exceeds the 20-page limit' when scanned then '{UNREADABLE}' end as detail
 from routed
 """
 
+ORACLES["page_numbers"] = """
+with p as (
+  select cast(conv_id as varchar) as doc_key, turn as place from conversations
+  union all select 'all-' || cast(conv_id % 3 as varchar), conv_id * 1000 + turn from conversations
+)
+select doc_key, place, cast(row_number() over (partition by doc_key order by place) as integer) as page_no from p
+"""
+
+_LAYERED = " union all ".join(
+    f"select {key} as doc_key, cast({page} as integer) as page_no, {strip(digital)} as digital, {strip(ocr)} as ocr from conversations where {kept}"
+    for key, page, digital, ocr, kept in d.LAYERED_PAGES
+)
 _ROUTED = f"""
-with pages as (
-  select cast(conv_id as varchar) as doc_key, cast(turn + 1 as integer) as page_no,
-    {strip(d.DIGITAL_LAYER)} as digital, {strip(d.OCR_LAYER)} as ocr
-  from conversations
-), joined as (
+with pages as ({_LAYERED}), joined as (
   select doc_key, max(page_no) as total_pages,
     coalesce(string_agg({_HEADER} || digital, chr(10) || chr(10) order by page_no) filter (digital <> ''), '') as digital_text,
     string_agg({_HEADER} || ocr, chr(10) || chr(10) order by page_no) as ocr_text,
@@ -314,11 +322,18 @@ from (select o_orderkey, o_orderkey % 4 as n, unnest(range(1, greatest(1, o_orde
 """
 
 ORACLES["items_nest"] = """
-with r as (select o_orderkey, o_orderkey % 4 as n, unnest(range(1, o_orderkey % 4 + 1)) as i from orders),
-t as (select *, 'item ' || cast(o_orderkey % 100 as varchar) || '.' || cast(i as varchar) as description from r)
-select o_orderkey, count(*) as n_items, case when count(*) <= 2 then string_agg(description, ',' order by i) end as descriptions,
-  case when count(*) > 2 then 'List has more than 2 elements: ' || cast(count(*) as varchar) end as detail
-from t group by o_orderkey
+with r as (select o_orderkey, unnest(range(1, o_orderkey % 4 + 1)) as i from orders),
+t as (select o_orderkey, i as place, 'item ' || cast(o_orderkey % 100 as varchar) || '.' || cast(i as varchar) as description from r),
+u as (select * from t union all select -1 - cast(floor(o_orderkey / 64) as bigint), o_orderkey % 64 * 4 + place, description from t)
+select o_orderkey, count(*) as n_items, case when count(*) <= 100 then string_agg(description, ',' order by place) end as descriptions,
+  case when count(*) > 100 then 'List has more than 100 elements: ' || cast(count(*) as varchar) end as detail
+from u group by o_orderkey
+"""
+
+_FLAT = " union all ".join(f"select {key} as doc_key, {place} as place, {d.FLAT_SERIAL} as sr_no from lineitem" for key, place in d.FLAT_ITEMS)
+ORACLES["items_numbered"] = f"""
+select doc_key, place, case when coalesce(sr_no, '') = '' then cast(row_number() over (partition by doc_key order by place) as varchar) else sr_no end as sr_no
+from ({_FLAT})
 """
 
 
@@ -570,7 +585,7 @@ ORACLES["stream_error_history"] = f"""
 select seq, {_SOURCE} as source, code, http_status from e where event_type = 'error' order by ts desc, seq desc limit 100
 """
 
-_NOW = "timestamp '2024-01-25 00:00:00'"
+_NOW = "(select max(ts) from events)"
 _OPEN = f"""
 with s as (select event_id, user_id, event_type, ts from events where event_id % 2 = 0),
 f as (select event_id - 1 as event_id, ts from events where event_id % 2 = 1 and event_type <> 'error'),
@@ -593,6 +608,26 @@ select count(*) > 0 as is_processing, true as accepting_requests, count(*) as ac
 from o
 """
 
+ORACLES["slot_occupancy"] = f"""
+with s as (select event_id // 2 as pair, ts from events where event_id % 2 = 0),
+f as (select event_id // 2 as pair, ts from events where event_id % 2 = 1 and event_type <> 'error'),
+m as (select cast(pair as varchar) as token, ts, 'start' as kind, 1 as mark from s
+  union all select cast(f.pair as varchar), f.ts, 'end', -1 from f join s on s.pair = f.pair and f.ts >= s.ts),
+r as (select *, cast(sum(mark) over (order by ts, mark, token rows unbounded preceding) as bigint) as active_count from m)
+select {_ISO.format('ts')} as at, token, kind, active_count, greatest(0, 4 - active_count) as available_slots from r
+"""
+
+# Starts without an end leave once the watermark, an hour behind the slower of the two kinds, is past their six hours.
+ORACLES["stream_request_joins"] = f"""
+with s as (select event_id, user_id, event_type, ts from events where event_id % 2 = 0),
+f as (select event_id - 1 as event_id, ts from events where event_id % 2 = 1 and event_type <> 'error'),
+w as (select least((select max(ts) from s), (select max(ts) from f)) - interval 1 hour as mark)
+select cast(s.event_id // 2 as varchar) as token, 'r' || cast(s.user_id as varchar) as request_id, s.event_type as operation,
+  {_ISO.format('s.ts')} as started_at, case when f.ts is not null then {_ISO.format('f.ts')} end as ended_at
+from s left join f on f.event_id = s.event_id and f.ts between s.ts and s.ts + interval 6 hours, w
+where f.ts is not null or s.ts + interval 6 hours < w.mark
+"""
+
 ORACLES["stream_open_requests"] = f"""
 select cast(s.event_id // 2 as varchar) as token, 'r' || cast(s.user_id as varchar) as request_id, f.event_id is null as is_open,
   {_ISO.format('s.ts')} as started_at

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import dates, errors, identifiers, text, times
 from ledgerloom.functions.money import MONEY, clean_money, to_json_number
-from ledgerloom.limits import Limits
+from ledgerloom.limits import DEFAULT
 from ledgerloom.operators import (
     activity,
     batches,
@@ -65,24 +65,40 @@ def money(name: str):
 # --- pages and texts ---------------------------------------------------------
 
 
+def _inlined(columns: list[str], rows: list[tuple[str, ...]]) -> str:
+    """Several rows from each row, as one generator; the last expression of a row may leave it out."""
+    made = []
+    for *values, kept in rows:
+        struct = ", ".join(f"'{n}', {v}" for n, v in zip(columns, values))
+        made.append(f"case when {kept} then named_struct({struct}) end")
+    return f"inline(array_compact(array({', '.join(made)})))"
+
+
 @query
 def page_assembly(spark, sf_dir):
-    # A low page limit, so that some documents exceed it.
-    doc_pages = table(spark, sf_dir, "conversations").selectExpr(*derived.CONVERSATION_PAGES)
-    return pages.document_text(doc_pages, Limits(max_pdf_pages=5)).select(
+    rows = [(key, f"cast({page} as int)", "'digital'", "text", "true") for key, page in derived.BINDERS]
+    doc_pages = table(spark, sf_dir, "conversations").selectExpr(
+        _inlined(["doc_key", "page_no", "layer", "text"], rows)
+    )
+    return pages.document_text(doc_pages).select(
         "doc_key", "total_pages", "extraction_method", "used_ocr", "text", "character_count",
         *error_columns(),
     )
 
 
 def _two_layers(spark, sf_dir) -> DataFrame:
-    layers = (
-        f"inline(array(named_struct('layer', 'digital', 'text', {derived.DIGITAL_LAYER}),"
-        f" named_struct('layer', 'ocr', 'text', {derived.OCR_LAYER})))"
-    )
-    return table(spark, sf_dir, "conversations").selectExpr(
-        "cast(conv_id as string) as doc_key", "cast(turn + 1 as int) as page_no", layers
-    )
+    rows = []
+    for key, page, digital, ocr, kept in derived.LAYERED_PAGES:
+        rows += [(key, f"cast({page} as int)", f"'{n}'", t, kept) for n, t in (("digital", digital), ("ocr", ocr))]
+    return table(spark, sf_dir, "conversations").selectExpr(_inlined(["doc_key", "page_no", "layer", "text"], rows))
+
+
+@query
+def page_numbers(spark, sf_dir):
+    """Pages of flat rows, numbered in their documents; three documents hold all conversations."""
+    rows = [("cast(conv_id as string)", "turn", "text", "true"), ("'all-' || cast(conv_id % 3 as string)", "conv_id * 1000 + turn", "text", "true")]
+    flat = table(spark, sf_dir, "conversations").selectExpr(_inlined(["doc_key", "place", "text"], rows))
+    return pages.number_page_rows(flat, "doc_key", ["place"]).select("doc_key", "place", "page_no")
 
 
 @query
@@ -308,12 +324,15 @@ def items_flatten(spark, sf_dir):
 
 @query
 def items_nest(spark, sf_dir):
+    """Lists per order, and per 64 orders (negative keys), of which some exceed the limit."""
     orders = table(spark, sf_dir, "orders").selectExpr(
         "o_orderkey", f"{derived.ITEMS_SPARK} as items"
     )
     flat = items.flatten(orders, "o_orderkey", "items", keep_empty=False)
-    # A low limit, so that some lists exceed it.
-    return items.nest(flat, "o_orderkey", "items", max_items=2).select(
+    merged = flat.withColumns(
+        {"position": (F.col("o_orderkey") % 64 * 4 + F.col("position")).cast("int"), "o_orderkey": F.expr("-1 - cast(floor(o_orderkey / 64) as bigint)")}
+    )
+    return items.nest(flat.unionByName(merged), "o_orderkey", "items", max_items=DEFAULT.max_batch_items).select(
         "o_orderkey",
         "n_items",
         F.array_join(F.transform("items", lambda i: i["description"]), ",").alias("descriptions"),
@@ -321,6 +340,14 @@ def items_nest(spark, sf_dir):
     )
 
 
+@query
+def items_numbered(spark, sf_dir):
+    """Serial numbers of flat items; three invoices hold a third of all items each."""
+    rows = [(key, place, derived.FLAT_SERIAL, "true") for key, place in derived.FLAT_ITEMS]
+    flat = table(spark, sf_dir, "lineitem").selectExpr(_inlined(["doc_key", "place", "sr_no"], rows))
+    return india.number_items(flat, "doc_key", ["place"]).select("doc_key", "place", "sr_no")
+
+
 @query
 def india_reconcile(spark, sf_dir):
     headers = table(spark, sf_dir, "orders").selectExpr(*derived.INDIA_HEADERS)
@@ -623,13 +650,15 @@ def _request_events(events: DataFrame) -> DataFrame:
     )
 
 
-_NOW = "2024-01-25 00:00:00"
+def _newest_moment(events: DataFrame):
+    """The time of the newest event, the moment that a snapshot answers for."""
+    return events.agg(F.max("ts")).scalar()
 
 
 @query
 def open_requests(spark, sf_dir):
     events = _request_events(table(spark, sf_dir, "events"))
-    return activity.open_requests(events, F.lit(_NOW).cast("timestamp")).select(
+    return activity.open_requests(events, _newest_moment(events)).select(
         "token", "request_id", "operation", "phase", "elapsed_seconds"
     )
 
@@ -637,10 +666,19 @@ def open_requests(spark, sf_dir):
 @query
 def processing_snapshot(spark, sf_dir):
     events = table(spark, sf_dir, "events")
-    open_ = activity.open_requests(_request_events(events), F.lit(_NOW).cast("timestamp"))
+    open_ = activity.open_requests(_request_events(events), _newest_moment(events))
     return activity.processing_status(open_, _error_history(events))
 
 
+@query
+def slot_occupancy(spark, sf_dir):
+    """Active requests and free slots at every start and end."""
+    events = _request_events(table(spark, sf_dir, "events"))
+    return activity.slot_occupancy(events).select(
+        times.iso_timestamp(F.col("ts")).alias("at"), "token", "kind", "active_count", "available_slots"
+    )
+
+
 # --- streams -----------------------------------------------------------------
 
 
@@ -653,36 +691,67 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _arriving(spark: SparkSession, events: DataFrame, path: str, files: range, of: int) -> None:
+    """Writes some of ``of`` files with equal stretches of time, in their order; ids stay in pairs."""
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    if first is None:
+        return
+    seconds = (last - first).total_seconds() / of
+    moment = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6) - F.unix_micros(F.lit(first).cast("timestamp")) / F.lit(1e6)
+    stretch = F.least(F.floor(moment / seconds), F.lit(of - 1)) if seconds else F.lit(0)
+    for k in files:
+        events.filter(stretch == k).coalesce(1).write.mode("append").parquet(path)
+
+
+def _in_two_runs(spark: SparkSession, sf_dir: str, start: Callable, files: int = 10) -> None:
+    """Streams the events file by file, stops after half of them and goes on from the checkpoint."""
+    events = table(spark, sf_dir, "events")
+    path = new_work_path(spark, "arriving")
+    for half in (range(files // 2), range(files // 2, files)):
+        _arriving(spark, events, path, half, files)
+        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        start(stream).awaitTermination()
+
+
 @query
 def stream_batch_status(spark, sf_dir):
-    events = table(spark, sf_dir, "events")
-    stream = _job_results(_event_stream(spark, sf_dir))
-    return batch_stream.replay_status(spark, _job_headers(events), stream)
+    """Status from the progress log of ten micro-batches, with a snapshot at every fourth."""
+    path, checkpoint = new_work_path(spark, "progress"), new_work_path(spark, "progress-checkpoint")
+    _in_two_runs(spark, sf_dir, lambda s: batch_stream.start_progress(_job_results(s), path, checkpoint, every=4))
+    return batch_stream.live_status(spark, _job_headers(table(spark, sf_dir, "events")), path)
 
 
 @query
 def stream_open_requests(spark, sf_dir):
     path = new_work_path(spark, "requests")
-    stream = _request_events(_event_stream(spark, sf_dir))
-    activity_stream.start_request_states(
-        stream, path, new_work_path(spark, "requests-checkpoint")
-    ).awaitTermination()
+    checkpoint = new_work_path(spark, "requests-checkpoint")
+    _in_two_runs(spark, sf_dir, lambda s: activity_stream.start_request_states(_request_events(s), path, checkpoint))
     return activity_stream.request_states(spark, path).select(
         "token", "request_id", "is_open",
         times.iso_timestamp(F.col("started_at")).alias("started_at"),
     )
 
 
+@query
+def stream_request_joins(spark, sf_dir):
+    """Requests that have ended, or whose end can't come any more, from ten micro-batches."""
+    path = new_work_path(spark, "joins")
+    checkpoint = new_work_path(spark, "joins-checkpoint")
+    _in_two_runs(
+        spark, sf_dir, lambda s: activity_stream.start_request_joins(_request_events(s), path, checkpoint, "6 hours", "1 hour")
+    )
+    return spark.read.parquet(path).select(
+        "token", "request_id", "operation", *[times.iso_timestamp(F.col(c)).alias(c) for c in ("started_at", "ended_at")]
+    )
+
+
 @query
 def stream_error_history(spark, sf_dir):
+    """The newest hundred errors, kept over ten micro-batches."""
     path = new_work_path(spark, "errors")
-    stream = _error_history(_event_stream(spark, sf_dir))
-    activity_stream.start_error_log(
-        stream, path, new_work_path(spark, "errors-checkpoint")
-    ).awaitTermination()
-    return activity.recent_errors(spark.read.parquet(path), limit=100).select(
-        "seq", "source", "code", "http_status"
-    )
+    checkpoint = new_work_path(spark, "errors-checkpoint")
+    _in_two_runs(spark, sf_dir, lambda s: activity_stream.start_error_log(_error_history(s), path, checkpoint))
+    return activity_stream.kept_errors(spark, path).select("seq", "source", "code", "http_status")
 
 
 # --- model and whole job -----------------------------------------------------

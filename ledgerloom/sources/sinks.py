@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -21,3 +21,18 @@ def write_json(rows: DataFrame, path: str, partition_by: tuple[str, ...] = (),
 def split_errors(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Usable rows and failed rows. Nothing is raised inside a job."""
     return rows.filter(F.col("error").isNull()), rows.filter(F.col("error").isNotNull())
+
+
+def complete_batches(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the finished ``batch=n`` folders below ``path``, by its file system's own listing."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = files.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/batch=*/_SUCCESS")) or []
+    return sorted(int(f.getPath().getParent().getName().removeprefix("batch=")) for f in found)
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Removes a folder that a job has written and replaced."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from ledgerloom.limits import DEFAULT, Limits
+from ledgerloom.sources.sinks import complete_batches, drop_folder
+
 _STATE = (
     "token string, request_id string, operation string, started_at timestamp, "
     "ended_at timestamp"
@@ -78,13 +81,59 @@ def request_states(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def start_error_log(errors: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Appends error rows to the ``errors`` table."""
+def start_request_joins(events: DataFrame, path: str, checkpoint: str, longest: str = "1 hour",
+                        late: str = "10 minutes") -> StreamingQuery:
+    """Requests with their end, from a stream of start and end events.
+
+    A left outer join of the two kinds inside the state store. An end belongs
+    to a start up to ``longest`` before it; events may come ``late``. A start is held until its
+    end has come or can't come any more; then it leaves without one. State is bounded by
+    the starts of that stretch of time, and a restart goes on from the checkpoint.
+    """
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    starts = timed.filter("kind = 'start'").select("token", "request_id", "operation", F.col("ts").alias("started_at"))
+    ends = timed.filter("kind = 'end'").select(F.col("token").alias("_token"), F.col("ts").alias("ended_at"))
+    joined = starts.withWatermark("started_at", late).join(
+        ends.withWatermark("ended_at", late),
+        F.expr(f"token = _token and ended_at >= started_at and ended_at <= started_at + interval {longest}"),
+        "leftOuter",
+    )
     return (
-        errors.writeStream.format("parquet")
+        joined.drop("_token")
+        .writeStream.format("parquet")
         .option("path", path)
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
         .trigger(availableNow=True)
         .start()
     )
+
+
+def start_error_log(errors: DataFrame, path: str, checkpoint: str, limits: Limits = DEFAULT) -> StreamingQuery:
+    """Keeps the newest errors of a stream, as many as the history holds.
+
+    Micro-batch ``n`` merges its own newest rows with those kept by the batch
+    before and writes folder ``batch=n``. A folder counts once it is complete, a repeated micro-batch
+    rewrites its own, and all but the last two are removed: the log never grows.
+    """
+
+    def step(new: DataFrame, batch_id: int) -> None:
+        rows = new
+        if batch_id > 0:
+            rows = rows.unionByName(new.sparkSession.read.schema(new.schema).parquet(f"{path}/batch={batch_id - 1}"))
+        newest = rows.orderBy(F.desc("occurred_at"), F.desc("seq")).limit(limits.error_history)
+        newest.coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        drop_folder(new.sparkSession, f"{path}/batch={batch_id - 2}")
+
+    return (
+        errors.writeStream.option("checkpointLocation", checkpoint)
+        .foreachBatch(step)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def kept_errors(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of the newest complete folder of the error log."""
+    newest = max(complete_batches(spark, path))
+    return spark.read.parquet(f"{path}/batch={newest}")

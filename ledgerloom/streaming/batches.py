@@ -14,6 +14,7 @@ from ledgerloom.schemas import COUNTRIES
 from ledgerloom.session import new_work_path
 from ledgerloom.sources.hooks import ModelCall, run_model
 from ledgerloom.sources.payloads import check_payloads, payload_items, stream_payloads
+from ledgerloom.sources.sinks import complete_batches
 
 _KEYS = ("batch_job_name", "item_no", "custom_id")
 
@@ -63,15 +64,27 @@ def start_batches(spark: SparkSession, payload_folder: str, results_path: str,
     )
 
 
-def start_progress(results: DataFrame, progress_path: str, checkpoint: str) -> StreamingQuery:
+def _newest(counts: DataFrame) -> DataFrame:
+    """One row per job. Counts only grow, so the largest are the newest."""
+    return counts.groupBy("batch_job_name").agg(
+        *[F.max(c).alias(c) for c in ("completed_items", "failed_items", "_last")]
+    )
+
+
+def start_progress(results: DataFrame, progress_path: str, checkpoint: str, every: int = 10) -> StreamingQuery:
     """Running counts per job from a stream of results.
 
     The state is one small row per job. Each micro-batch writes the jobs that
-    changed to its own folder, so a repeated micro-batch replaces its output.
+    changed to its own folder below ``changes``, so a repeated micro-batch replaces its output. Each
+    ``every``-th also writes all jobs so far below ``snapshots``, from the last
+    snapshot and the changes since; older folders are never read again.
     """
 
     def write(changed: DataFrame, batch_id: int) -> None:
-        changed.write.mode("overwrite").parquet(f"{progress_path}/batch={batch_id}")
+        changed.write.mode("overwrite").parquet(f"{progress_path}/changes/batch={batch_id}")
+        if (batch_id + 1) % every == 0:
+            so_far = latest_progress(changed.sparkSession, progress_path, batch_id)
+            so_far.write.mode("overwrite").parquet(f"{progress_path}/snapshots/batch={batch_id}")
 
     return (
         progress(results)
@@ -83,17 +96,20 @@ def start_progress(results: DataFrame, progress_path: str, checkpoint: str) -> S
     )
 
 
-def latest_progress(spark: SparkSession, progress_path: str) -> DataFrame:
-    """Newest counts per job. Counts only grow, so the largest are the newest."""
-    return (
-        spark.read.parquet(progress_path)
-        .groupBy("batch_job_name")
-        .agg(
-            F.max("completed_items").alias("completed_items"),
-            F.max("failed_items").alias("failed_items"),
-            F.max("_last").alias("_last"),
-        )
-    )
+def progress_folders(spark: SparkSession, progress_path: str, before: int | None = None) -> list[str]:
+    """The folders that hold the state: the newest snapshot and the changes after it, ``every`` at most.
+
+    ``before`` leaves out the snapshots from that micro-batch on, which one that is repeated has written.
+    """
+    snapshots = [n for n in complete_batches(spark, f"{progress_path}/snapshots") if before is None or n < before]
+    last = max(snapshots, default=-1)
+    changes = [n for n in complete_batches(spark, f"{progress_path}/changes") if n > last]
+    return [f"{progress_path}/snapshots/batch={last}"] * (last >= 0) + [f"{progress_path}/changes/batch={n}" for n in changes]
+
+
+def latest_progress(spark: SparkSession, progress_path: str, before: int | None = None) -> DataFrame:
+    """Newest counts per job."""
+    return _newest(spark.read.parquet(*progress_folders(spark, progress_path, before)))
 
 
 def live_status(spark: SparkSession, headers: DataFrame, progress_path: str) -> DataFrame:

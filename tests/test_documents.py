@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from ledgerloom.limits import Limits
-from ledgerloom.operators import file_checks, pages, prepare
+from ledgerloom.operators import file_checks, india, pages, prepare
 from ledgerloom.sources import files, hooks
 
 HEADS = {"pdf": b"%PDF-1.7", "png": b"\x89PNG\r\n\x1a\n", "jpeg": b"\xff\xd8\xff\xe0", "html": b"<html>", "short": b"%PDF"}
@@ -93,6 +93,23 @@ def test_endless_document_is_rejected_without_gathering_its_pages(spark):
     assert got["hot"].error.code == "too_many_pages" and got["hot"].text is None
 
 
+def test_page_numbers_count_not_rows(spark):
+    rows = [("gap", 1, "digital", "first page with enough characters"), ("gap", 30, "digital", "last"), ("edge", 20, "ocr", "seen")]
+    got = {r.doc_key: r for r in pages.document_text(spark.createDataFrame(rows, PAGE)).collect()}
+    assert got["gap"].error.status == 413 and got["gap"].text is None and got["gap"].extraction_method is None
+    assert got["edge"].text == "--- PAGE 20 ---\nseen"
+
+
+def test_flat_pages_and_items_are_numbered(spark):
+    rows = [("d", k, "x") for k in range(500)] + [(None, 9, "y")]
+    frame = spark.createDataFrame(rows, "doc_key string, place int, text string").repartition(6)
+    got = sorted((str(r.doc_key), r.page_no, r.place) for r in pages.number_page_rows(frame, "doc_key", [F.desc("place")]).collect())
+    assert got == [("None", 1, 9)] + [("d", k + 1, 499 - k) for k in range(500)]
+    items = spark.createDataFrame([("i", 2, ""), ("i", 1, "S"), ("i", 3, None), ("j", 5, "")], "doc_key string, place int, sr_no string")
+    filled = india.number_items(items, "doc_key", ["place"]).collect()
+    assert sorted((r.doc_key, r.place, r.sr_no) for r in filled) == [("i", 1, "S"), ("i", 2, "2"), ("i", 3, "3"), ("j", 5, "1")]
+
+
 def test_compacting_pages_equals_compacting_documents(spark):
     frame = spark.range(0, 400).selectExpr(
         "cast(id % 40 as string) as doc_key", "cast(id div 40 as int) + 1 as page_no",

@@ -1,4 +1,6 @@
 import json
+import os
+import random
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -135,6 +137,79 @@ def test_request_stream_over_several_micro_batches(spark, tmp_path):
 
 
 
+def appended(spark, source, rows, schema):
+    """One more input file, and the stream of all files one by one."""
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+
+
+def test_error_log_does_not_grow(spark, tmp_path):
+    schema = "occurred_at timestamp, seq bigint, code string"
+    source, path, checkpoint = (str(tmp_path / n) for n in ("in", "log", "cp"))
+    rng, everything = random.Random(2), []
+    for k in range(8):
+        # Out of order, with ties in time, and an empty file.
+        rows = [(T0 + timedelta(seconds=rng.randrange(500)), 100 * k + i, "c") for i in range(0 if k == 4 else 60)]
+        everything += rows
+        activity_stream.start_error_log(appended(spark, source, rows, schema), path, checkpoint).awaitTermination()
+        kept = sorted(tuple(r) for r in activity_stream.kept_errors(spark, path).collect())
+        assert kept == sorted(sorted(everything)[-100:])
+        folders = [f for f in os.listdir(path) if f.startswith("batch=")]
+        assert len(folders) <= 2 and spark.read.parquet(path).count() <= 200
+
+
+def test_request_joins_over_a_restart(spark, tmp_path):
+    at = lambda s: T0 + timedelta(seconds=s)
+    source, path, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    files = [
+        [("a", "r", "op", "start", at(0)), ("b", "r", "op", "start", at(5)), ("c", "r", "op", "start", at(6)), ("z", "r", "op", "end", at(1))],
+        [("a", "r", "op", "end", at(30)), ("c", "r", "op", "step", at(40)), ("d", "r", "op", "start", at(70))],
+        [("c", "r", "op", "end", at(200)), ("e", "r", "op", "start", at(1000)), ("d", "r", "op", "end", at(100))],
+        [("f", "r", "op", "start", at(2000)), ("f", "r", "op", "end", at(2000))],
+    ]
+    for rows in files:  # each run goes on from the state of the one before
+        stream = appended(spark, source, rows, EVENTS)
+        activity_stream.start_request_joins(stream, path, checkpoint, "60 seconds", "100 seconds").awaitTermination()
+    got = sorted((r.token, r.started_at, r.ended_at) for r in spark.read.parquet(path).collect())
+    # b and e never end and c ends too late: they leave alone once no end can come any more.
+    assert got == [
+        ("a", at(0), at(30)), ("b", at(5), None), ("c", at(6), None), ("d", at(70), at(100)), ("e", at(1000), None), ("f", at(2000), at(2000))
+    ]
+
+
+def test_occupancy_sweep(spark):
+    at = lambda s: T0 + timedelta(seconds=s)
+    rows = [
+        ("a", "r", "op", "start", at(1)), ("b", "r", "op", "start", at(2)), ("a", "r", "op", "end", at(3)), ("c", "r", "op", "start", at(3)),
+        ("d", "r", "op", "end", at(4)), ("e", "r", "op", "start", at(6)), ("e", "r", "op", "end", at(5)), ("b", "r", "op", "step", at(7)),
+    ]
+    got = activity.slot_occupancy(spark.createDataFrame(rows, EVENTS).repartition(4), Limits(max_concurrent=2)).collect()
+    assert sorted((r.ts, r.kind, r.token, r.active_count, r.available_slots) for r in got) == [
+        (at(1), "start", "a", 1, 1), (at(2), "start", "b", 2, 0), (at(3), "end", "a", 1, 1), (at(3), "start", "c", 2, 0), (at(6), "start", "e", 3, 0)
+    ]
+
+
+def test_occupancy_needs_no_window_over_all_rows(spark):
+    frame = activity.slot_occupancy(spark.createDataFrame([("a", "r", "op", "start", T0)], EVENTS))
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert windows and all("_part" in line for line in windows)
+
+
+def test_progress_reads_a_bounded_number_of_folders(spark, tmp_path):
+    schema = "batch_job_name string, success boolean, finished_at timestamp"
+    source, path, checkpoint = (str(tmp_path / n) for n in ("in", "progress", "cp"))
+    everything = []
+    for k in range(11):
+        rows = [(f"j{(k * 3 + i) % 7}", i % 3 > 0, T0 + timedelta(seconds=k)) for i in range(5)]
+        everything += rows
+        batch_stream.start_progress(appended(spark, source, rows, schema), path, checkpoint, every=4).awaitTermination()
+        folders = batch_stream.progress_folders(spark, path)
+        assert len(folders) <= 4 and len({f.split("/")[-2] for f in folders}) <= 2
+        want = sorted(tuple(r) for r in batches.progress(spark.createDataFrame(everything, schema)).collect())
+        assert sorted(tuple(r) for r in batch_stream.latest_progress(spark, path).collect()) == want
+
+
 def test_batch_stream_equals_batch_job(spark, tmp_path):
     folder = tmp_path / "payloads"
     folder.mkdir()
