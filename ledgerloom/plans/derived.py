@@ -113,7 +113,7 @@ INDIA_HEADERS = [
 
 # --- UAE records -------------------------------------------------------------
 
-_SELLER_TRN = "lpad(cast(o_orderkey as string), 15, '1')"
+SELLER_TRN = "lpad(cast(o_orderkey as string), 15, '1')"
 _BUYER_TRN = "lpad(cast(o_custkey as string), 15, '2')"
 _NUMBER = "lpad(cast(o_orderkey as string), 8, '0')"
 UAE_RECORD = [
@@ -127,14 +127,14 @@ UAE_RECORD = [
     f"cast({PRICE} + case when o_orderkey % 4 > 0 then o_orderkey % 100 else 0 end"
     " + case o_orderkey % 5 when 0 then 0.02 when 1 then -0.03 else 0 end as decimal(15,2)) as grand_total",
     "case o_orderkey % 9 when 0 then null when 1 then '12345' when 2 then '  '"
-    f" when 3 then ' ' || {_SELLER_TRN} || ' ' else {_SELLER_TRN} end as vendor_trn_no",
+    f" when 3 then ' ' || {SELLER_TRN} || ' ' else {SELLER_TRN} end as vendor_trn_no",
     f"case o_orderkey % 9 when 0 then 'x1' when 1 then '' when 2 then null else {_BUYER_TRN} end as buyer_trn_no",
     "case o_orderkey % 6 when 0 then 'aed' when 1 then null when 2 then '' when 3 then 'AED' || chr(10) else 'AED' end as currency",
     "case when o_orderkey % 12 = 0 then '' else 'Stra" + chr(0xDF) + "e inv-' || substring("
     + _NUMBER
     + ", 1, 4) || ' ' || substring("
     + _NUMBER
-    + f", 5, 4) || case when o_orderkey % 3 = 0 then '' else ' TRN ' || {_SELLER_TRN} end"
+    + f", 5, 4) || case when o_orderkey % 3 = 0 then '' else ' TRN ' || {SELLER_TRN} end"
     f" || ' buyer ' || case when o_orderkey % 5 = 0 then '' else {_BUYER_TRN} end end as character_stored",
 ]
 
@@ -410,7 +410,7 @@ PRINTED_INVOICES = {
         "case when o_orderkey % 5 = 0 then 'Total: AED 31.75' else 'Grand Total: ' || " + PRICE_TEXT + " end",
         "'PO No.: ' || cast(o_custkey as string) || '/' || cast(o_orderkey % 7 as string)",
         "'Vendor: Dune Tools ' || cast(o_orderkey % 50 as string)",
-        f"'Vendor TRN: ' || {_SELLER_TRN}",
+        f"'Vendor TRN: ' || {SELLER_TRN}",
     ),
     "usa": _lines(
         "'Amount Due: ' || " + PRICE_TEXT,
@@ -457,7 +457,7 @@ EXTRACTION_UPLOADS = [
 FIRST_PAGE = (
     "case when o_orderkey % 29 = 0 then 'x' else 'TAX  INVOICE' || chr(13) || chr(10) || 'Supplier:' || chr(9) || 'V'"
     f" || cast(o_orderkey % 50 as string) || chr(10) || chr(10) || ' Invoice Number: inv-' || {_KEY}"
-    f" || case when o_orderkey % 4 = 0 then '' else ' TRN ' || {_SELLER_TRN} end end"
+    f" || case when o_orderkey % 4 = 0 then '' else ' TRN ' || {SELLER_TRN} end end"
 )
 SECOND_PAGE = f"case when o_orderkey % 29 = 0 then '' when o_orderkey % 2 = 0 then ' ' else 'Total  ' || {PRICE_TEXT} end"
 EXTRACTION_PAGES = [
@@ -474,7 +474,7 @@ _UAE_REPLY = (
     + " || ',\"total_tax\":\"AED ' || cast(o_orderkey % 100 as string) || '.50\",\"grand_total\":' || "
     + f"cast(cast({UAE_TOTAL} as decimal(15,2)) as string)"
     + " || ',\"vendor_trn_no\":\"' || "
-    + _SELLER_TRN
+    + SELLER_TRN
     + " || '\",\"items\":[{\"item\":\"a\",\"qty\":1,\"line_total\":\"' || "
     + PRICE_TEXT
     + " || '\"}]}'"

@@ -9,6 +9,7 @@ from __future__ import annotations
 from ledgerloom.functions import dates
 from ledgerloom.operators.label_fields import RULES
 from ledgerloom.plans import derived as d
+from ledgerloom.schemas import COUNTRIES, RecordSchema
 
 # Whitespace as Python sees it, for trim() and as a regex class.
 WS_CHARS = "".join(
@@ -674,12 +675,69 @@ select doc_key, country, cast(length(body) as integer) as character_count,
 from ok
 """
 
-ORACLES["success_envelopes"] = _JOB + """
-select doc_key, true as success, 'req-' || doc_key as request_id, body as character_stored, country, cast(price as double) as first_line,
-  '{"total_pages":2,"character_count":' || cast(length(body) as varchar) || ',"finish_reason":"stop","model_name":"gemma2:2b","model_provider":"ollama"}' as metadata,
-  '{"input_tokens":700,"output_tokens":' || cast(o_orderkey % 300 as varchar) || ',"total_tokens":' || cast(700 + o_orderkey % 300 as varchar) || ',"execution_time_ms":5000}' as token_usage
+
+
+def _json_record(schema: RecordSchema, values: dict[str, str]) -> str:
+    """JSON text with all fields of a record; those not in ``values`` are null."""
+    fields = [f"'\"{name}\":' || " + values.get(name, "'null'") for name in schema.order]
+    return "'{' || " + " || ',' || ".join(fields) + " || '}'"
+
+
+def _json_list(schema: RecordSchema, *rows: dict[str, str]) -> str:
+    return "'[' || " + " || ',' || ".join(_json_record(schema, r) for r in rows) + " || ']'"
+
+
+def _number(x: str) -> str:
+    return f"cast(cast({x} as double) as varchar)"
+
+
+def _quoted(x: str) -> str:
+    return f"'\"' || {x} || '\"'"
+
+
+_VENDOR = _quoted("'V' || cast(o_orderkey % 50 as varchar)")
+_ZERO = {n: "'0.0'" for n in ("igst_amount", "discount", "state_cess", "other_charges")}
+_DATA = {
+    "uae": _json_record(COUNTRIES["uae"], {
+        "vendor_name": _VENDOR, "vendor_trn_no": _quoted(d.SELLER_TRN), "invoice_no": _quoted("'INV-' || doc_key"),
+        "invoice_date": _quoted("'2026-01-20'"), "net_amount": _number("price"), "total_tax": _number("o_orderkey % 100 + 0.5"),
+        "grand_total": _number(f"cast({d.UAE_TOTAL} as decimal(15,2))"), "currency": _quoted("'AED'"),
+        "items": _json_list(COUNTRIES["uae"].lists["items"], {"item": _quoted("'a'"), "qty": "'1.0'", "line_total": _number("price")}),
+    }),
+    "usa": _json_record(COUNTRIES["usa"], {
+        "vendor_name": _VENDOR, "invoice_no": _quoted("'US-' || doc_key"), "payable_amount": _number("price"),
+        "items": _json_list(COUNTRIES["usa"].lists["items"], {"line_number": _quoted("'1'"), "line_total": _number("price")}, {"line_total": "'2.0'"}),
+    }),
+    "india": _json_record(COUNTRIES["india"], {
+        "vendor_name": _VENDOR, "invoice_number": _quoted("'IN-' || doc_key"), "taxable_amount": _number("price"), "cgst_amount": "'9.0'",
+        "sgst_amount": "'9.0'", "invoice_amount": _number("price + 18"), "irn_number": _quoted("'0'"), **_ZERO,
+        "items": _json_list(COUNTRIES["india"].lists["items"], {"sr_no": _quoted("'1'"), "amount": _number("price")}),
+        "hsn_summary": _json_list(COUNTRIES["india"].lists["hsn_summary"], {"cgst": "'9.0'", "sgst": "'9.0'"}),
+    }),
+}
+
+_ENVELOPES = f"""
+select doc_key, true as success, 'req-' || doc_key as request_id, body as character_stored, country,
+  case country when 'uae' then {_DATA['uae']} when 'usa' then {_DATA['usa']} else {_DATA['india']} end as data,
+  case when country = 'uae' then '{{"is_valid":' || case when o_orderkey % 5 = 0 or o_orderkey % 4 = 0 then 'false' else 'true' end || ',"warnings":['
+    || array_to_string(list_filter([
+      case when o_orderkey % 5 = 0 then '"subtotal, VAT, and grand_total do not balance"' end,
+      case when o_orderkey % 4 = 0 then '"vendor_trn_no was not found in extracted_text"' end], lambda x: x is not null), ',') || ']}}' end as validation,
+  '{{"total_pages":2,"character_count":' || cast(length(body) as varchar) || ',"finish_reason":"stop","model_name":"gemma2:2b","model_provider":"ollama"}}' as metadata,
+  '{{"input_tokens":700,"output_tokens":' || cast(o_orderkey % 300 as varchar) || ',"total_tokens":' || cast(700 + o_orderkey % 300 as varchar) || ',"execution_time_ms":5000}}' as token_usage
 from ok where good
 """
+ORACLES["success_envelopes"] = _JOB + _ENVELOPES
+
+_CALLER = d.INVOICE_ID.replace("doc_id", "o_orderkey")
+ORACLES["completion_envelopes"] = _JOB + f"""
+, e as ({_ENVELOPES}),
+q as (select cast(o_orderkey as varchar) as doc_key, {_CALLER} as raw, {strip(_CALLER)} as invoice_id from orders),
+v as (select *, length(raw) between 1 and 100 and length(invoice_id) between 1 and 100 as valid from q)
+select e.*, invoice_id, cast(null as varchar) as code from e join v on v.doc_key = e.doc_key where valid
+union all by name
+select doc_key, 'invalid_invoice_id' as code from v where not valid
+"""
 
 ORACLES["extraction_errors"] = _JOB + """
 select o_orderkey as seq, 'req-' || doc_key as request_id, case when unread then 'ocr' else 'ollama' end as source,

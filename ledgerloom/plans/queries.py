@@ -838,12 +838,14 @@ def invoice_extraction(spark, sf_dir):
     return _union(parts)
 
 
-@query
-def success_envelopes(spark, sf_dir):
-    """Envelopes of all countries, nested parts as JSON text."""
+def _envelopes(spark, sf_dir) -> DataFrame:
+    """Whole envelopes of all countries, nested parts as JSON text with their nulls."""
+    def json_of(name: str):
+        return F.to_json(name, {"ignoreNullFields": "false"}).alias(name)
+
     parts = []
     for country, rows in extract.all_envelopes(_replied(spark, sf_dir)).items():
-        line = "amount" if country == "india" else "line_total"
+        validation = json_of("validation") if country == "uae" else F.lit(None).cast("string").alias("validation")
         parts.append(
             rows.select(
                 "doc_key",
@@ -851,7 +853,8 @@ def success_envelopes(spark, sf_dir):
                 "request_id",
                 "character_stored",
                 F.lit(country).alias("country"),
-                F.col("data.items")[0][line].alias("first_line"),
+                json_of("data"),
+                validation,
                 F.to_json("metadata").alias("metadata"),
                 F.to_json("token_usage").alias("token_usage"),
             )
@@ -859,6 +862,23 @@ def success_envelopes(spark, sf_dir):
     return _union(parts)
 
 
+@query
+def success_envelopes(spark, sf_dir):
+    """What callers receive for every invoice without an error."""
+    return _envelopes(spark, sf_dir)
+
+
+@query
+def completion_envelopes(spark, sf_dir):
+    """The same envelopes under the callers' invoice ids, and error rows for ids that are none."""
+    callers = table(spark, sf_dir, "orders").selectExpr(
+        "cast(o_orderkey as string) as doc_key", f"{derived.INVOICE_ID.replace('doc_id', 'o_orderkey')} as invoice_id"
+    )
+    completed = envelopes.completion_envelopes(callers, _envelopes(spark, sf_dir))
+    rejected = envelopes.invalid_callers(callers).select("doc_key", F.col("error.code").alias("code"))
+    return completed.withColumn("code", F.lit(None).cast("string")).unionByName(rejected, allowMissingColumns=True)
+
+
 @query
 def extraction_errors(spark, sf_dir):
     """Error rows of all stages of the same job."""
