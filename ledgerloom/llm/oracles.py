@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ledgerloom.llm.host_rules import SOFT, HostRules
+from ledgerloom.llm.jaccard_join import PERCENT, SHINGLE
 
 _RULES = HostRules()
 _WITH_SOME = [*SOFT, "some"]
@@ -72,4 +73,27 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f LEFT JOIN r USING (source), p
 """
 
-ORACLES: dict[str, str] = {"op7_host_rules": HOST_RULES}
+JACCARD_JOIN = rf"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                        '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+),
+s AS (
+  SELECT DISTINCT rid, unnest(CASE WHEN len(w) >= {SHINGLE} THEN list_transform(range(1, len(w) - {SHINGLE} + 2),
+                                                lambda i: array_to_string(w[i : i + {SHINGLE} - 1], ' '))
+                                   WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g
+  FROM d
+),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+p AS (SELECT a.rid AS x, b.rid AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.rid < b.rid GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON a.rid = x JOIN n b ON b.rid = y WHERE 100 * k >= {PERCENT} * (a.n + b.n - k)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(rid, other) AS (SELECT rid, rid FROM d UNION SELECT r.rid, e.y FROM r JOIN e ON e.x = r.other)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(o.doc_id) AS component_id
+FROM d JOIN r USING (rid) JOIN d o ON o.rid = r.other LEFT JOIN n ON n.rid = d.rid
+GROUP BY d.rid, d.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op7_host_rules": HOST_RULES, "op13_jaccard_join": JACCARD_JOIN}
