@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,9 +46,23 @@ PRINTED_DATE_FORMATS = [
     "d. MMMM yyyy",
     "d-MMM-yyyy",
 ]
+# What a text of each part of a spelling looks like at most.
+_PART_SHAPES = {"y": r"[+]?[0-9]+", "M": r"[\p{L}0-9.]+", "d": r"[0-9]+"}
+
+
+def _shape(spelling: str) -> str:
+    """A pattern that every text of the spelling matches."""
+    parts = re.findall(r"y+|M+|d+|[^yMd]", spelling)
+    return r"\A" + "".join(_PART_SHAPES.get(p[0], re.escape(p)) for p in parts) + r"\z"
 
 
 def normalise_printed_date(column: Column) -> Column:
-    """A printed date as YYYY-MM-DD, null when no spelling fits."""
-    parsed = F.coalesce(*[F.try_to_date(column, f) for f in PRINTED_DATE_FORMATS])
+    """A printed date as YYYY-MM-DD, null when no spelling fits.
+
+    Only spellings whose shape fits are tried: each failing try costs an
+    exception, far more than a pattern.
+    """
+    parsed = F.coalesce(
+        *[F.when(column.rlike(_shape(f)), F.try_to_date(column, f)) for f in PRINTED_DATE_FORMATS]
+    )
     return F.date_format(parsed, "yyyy-MM-dd")

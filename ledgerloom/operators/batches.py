@@ -21,7 +21,8 @@ def item_results(replies: DataFrame, country: str) -> DataFrame:
 
     A failing item becomes a failed row and leaves the others alone. Batch
     items get the rules that change a record, but no UAE checks. ``data`` is
-    JSON text, so the three countries share one table.
+    JSON text, so the three countries share one table. ``finished_at`` and
+    ``seq`` of the replies, if there, are handed on.
     """
     parsed = apply_rules(parse_replies(replies, country), country)
     data = F.to_json(
@@ -37,6 +38,7 @@ def item_results(replies: DataFrame, country: str) -> DataFrame:
         F.when(ok, data).alias("data"),
         F.col("error.detail").alias("error"),
         "token_usage",
+        *[c for c in ("finished_at", "seq") if c in parsed.columns],
     )
 
 

@@ -523,6 +523,52 @@ union all
 select 'batches/loc_' || cast(doc_id as varchar), null, null, null, detail from f where detail is not null
 """
 
+_UPLOAD_BLOB = f"unhex({d.UPLOAD_HEAD}) || encode(coalesce(text, ''))"
+ORACLES["upload_files"] = f"""
+with b as (select doc_id, {_UPLOAD_BLOB} as head, {d.UPLOAD_FILL} as fill from documents),
+f as (select doc_id, head || encode(repeat('x', greatest(0, fill - octet_length(head)))) || encode(chr(10)) as content from b),
+k as (
+  select doc_id, cast(octet_length(content) as bigint) as length, octet_length(content) > 15728640 as large, md5(content) as content_md5,
+    case when starts_with(hex(content), '255044462D') then 'pdf' when starts_with(hex(content), '89504E470D0A1A0A') then 'png'
+    when starts_with(hex(content), 'FFD8FF') then 'jpeg' end as kind from f
+)
+select doc_id, length, case when not large then kind end as kind, case when not large then content_md5 end as content_md5,
+  cast(case when large then 413 when kind is null then 415 end as integer) as status,
+  case when large then 'file_too_large' when kind is null then 'unsupported_file_type' end as code,
+  case when large then 'Upload exceeds the 15 MB limit' when kind is null then 'Only genuine PDF, JPG, JPEG, and PNG files are supported' end as detail
+from k
+"""
+_PAYLOADS = """
+with p as (
+  select doc_id, case when doc_id % 19 = 0 then [] when doc_id % 23 = 0 then string_split(text, ' ') else string_split(text, chr(10)) end as ls
+  from documents
+), f as (
+  select *, case when len(ls) = 0 then 'body.items: List should have at least 1 item after validation, not 0'
+    when len(ls) > 100 then 'body.items: List should have at most 100 items after validation, not ' || cast(len(ls) as varchar)
+    when doc_id % 17 = 3 and len(ls) > 1 then 'body.items.1.text: Field required' end as problem from p
+)"""
+ORACLES["payload_files"] = f"""{_PAYLOADS}, g as (
+  select *, doc_id % 13 = 5 as broken, case when doc_id % 13 = 5 then 'body: JSON decode error' else problem end as detail from f
+)
+select doc_id, case when not broken then 'batches/loc_' || cast(doc_id as varchar) end as batch_job_name,
+  cast(case when broken then 0 else len(ls) end as integer) as total_items,
+  case when detail is null then md5(array_to_string(ls, chr(10))) end as texts_md5,
+  cast(case when detail is not null then 400 end as integer) as status,
+  case when detail is not null then 'invalid_request' end as code, detail
+from g
+"""
+ORACLES["stream_batch_results"] = f"""{_PAYLOADS}, i as (
+  select doc_id, len(ls) as n, unnest(ls) as line, generate_subscripts(ls, 1) - 1 as i from f where problem is null
+), r as (
+  select doc_id, n, case when i % 2 = 0 then '' else 'c' end || cast(i as varchar) as custom_id,
+    doc_id % 4 < 3 and length(line) % 7 <> 3 and length(line) % 11 <> 5 as success, cast(length(line) as varchar) as v from i
+)
+select 'batches/loc_' || cast(doc_id as varchar) as batch_job_name, 'COMPLETED' as state, cast(any_value(n) as integer) as total_items,
+  count(*) filter (where success) as completed_items, count(*) filter (where not success) as failed_items,
+  count(*) as n_results, array_to_string(list_sort(list(custom_id || ':' || case when success then v else 'failed' end)), ',') as results
+from r group by doc_id
+"""
+
 ORACLES["batch_results"] = f"""
 with e as (select *, {d.BLOCK_OF_EVENT} as block from events)
 select cast(block as varchar) as batch_job_name, count(*) as n_results,

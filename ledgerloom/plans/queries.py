@@ -29,7 +29,7 @@ from ledgerloom.operators import (
 )
 from ledgerloom.plans import derived, extract
 from ledgerloom.session import configure, new_work_path
-from ledgerloom.sources import hooks, ocr, payloads, sinks
+from ledgerloom.sources import files, hooks, ocr, payloads, sinks
 from ledgerloom.streaming import activity as activity_stream
 from ledgerloom.streaming import batches as batch_stream
 
@@ -185,6 +185,42 @@ def web_pages_rejected(spark, sf_dir):
     return file_checks.check_uploads(uploads).select("page_id", "kind", "length", *error_columns())
 
 
+@query
+def upload_files(spark, sf_dir):
+    """Documents as files of a folder, read back by content; oversize files are never opened."""
+    folder = new_work_path(spark, "uploads")
+    documents = table(spark, sf_dir, "documents").selectExpr("doc_id", f"{derived.UPLOAD_FILE} as content")
+    sinks.write_files(documents, folder, "doc_id", "content")
+    small, oversize = files.split_by_size(files.read_uploads(spark, folder))
+    content = F.col("content")
+    opened = small.select("path", "length", file_checks.detect_kind(content).alias("kind"), F.md5(content).alias("content_md5"))
+    unopened = oversize.select("path", "length", *[F.lit(None).cast("string").alias(c) for c in ("kind", "content_md5")])
+    # Facts of the engines that open files; here every file opens.
+    facts = {"opens": "true", "needs_pass": "false", "page_count": "1", "decoded_format": "kind", "width": "1", "height": "1"}
+    found = opened.unionByName(unopened).withColumns({n: F.expr(e) for n, e in facts.items()})
+    return found.withColumn("error", file_checks.upload_error(F.col("kind"))).select(
+        F.regexp_extract("path", "doc_id=(-?[0-9]+)", 1).cast("bigint").alias("doc_id"),
+        "length", "kind", "content_md5", *error_columns(),
+    )
+
+
+@query
+def payload_files(spark, sf_dir):
+    """Payloads as one JSON body per file, every 13th cut off before its end."""
+    folder = new_work_path(spark, "payloads")
+    bodies = _payload_rows(spark, sf_dir, "doc_id").select("doc_id", F.to_json(F.struct("batch_job_name", "country", "items")).alias("body"))
+    cut = F.when(F.col("doc_id") % 13 == 5, F.expr("left(body, length(body) - 1)")).otherwise(F.col("body"))
+    sinks.write_files(bodies.withColumn("body", cut), folder, "doc_id", "body")
+    checked = payloads.check_payloads(payloads.read_payloads(spark, folder))
+    texts = F.transform("items", lambda i: F.coalesce(i["text"], i["character_stored"]))
+    return checked.select(
+        F.regexp_extract("source", "doc_id=(-?[0-9]+)", 1).cast("bigint").alias("doc_id"),
+        "batch_job_name", "total_items",
+        F.when(F.col("error").isNull(), F.md5(F.array_join(texts, "\n"))).alias("texts_md5"),
+        *error_columns(),
+    )
+
+
 @query
 def ocr_extractor(spark, sf_dir):
     """Caller's OCR hook; a stand-in engine that decodes text, one page per blank line."""
@@ -508,16 +544,20 @@ def batch_lookup(spark, sf_dir):
     )
 
 
-@query
-def batch_payloads(spark, sf_dir):
-    """Payloads from documents: one item per paragraph line."""
-    documents = table(spark, sf_dir, "documents").selectExpr(
+def _payload_rows(spark, sf_dir, *columns: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").selectExpr(
+        *columns,
         "'batches/loc_' || cast(doc_id as string) as batch_job_name",
-        "'uae' as country",
+        f"{derived.PAYLOAD_COUNTRY} as country",
         "cast(null as timestamp) as created_at",
         f"{derived.PAYLOAD_ITEMS_SPARK} as items",
     )
-    checked = payloads.check_payloads(documents)
+
+
+@query
+def batch_payloads(spark, sf_dir):
+    """Payloads from documents: one item per paragraph line."""
+    checked = payloads.check_payloads(_payload_rows(spark, sf_dir))
     accepted = payloads.payload_items(checked).select(
         "batch_job_name", "item_no", "custom_id", "character_stored",
         F.lit(None).cast("string").alias("detail"),
@@ -721,6 +761,39 @@ def stream_batch_status(spark, sf_dir):
     return batch_stream.live_status(spark, _job_headers(table(spark, sf_dir, "events")), path)
 
 
+@query
+def stream_batch_results(spark, sf_dir):
+    """Lists of results of jobs whose payload files arrive over six micro-batches, with a restart in the middle."""
+
+    def factory():
+        def call(prompt: str, document: str, country: str):
+            if len(document) % 7 == 3:
+                raise TimeoutError
+            content = json.dumps({"vendor_name": str(len(document))}) if len(document) % 11 != 5 else "oops"
+            return 200, json.dumps({"message": {"content": content}, "eval_count": 1})
+
+        return call
+
+    folder, results, checkpoint = (new_work_path(spark, n) for n in ("payloads", "results", "results-checkpoint"))
+    bodies = _payload_rows(spark, sf_dir, "doc_id")
+    for run in (0, 1):
+        arriving = bodies.filter(F.pmod("doc_id", F.lit(2)) == run).drop("doc_id").repartition(3)
+        arriving.write.mode("append").json(folder)
+        batch_stream.start_batches(
+            spark, folder, results, checkpoint, factory, {}, files_per_trigger=1, lines=True
+        ).awaitTermination()
+    found = batch_stream.results_so_far(spark, results)
+    headers = payloads.job_headers(payloads.check_payloads(payloads.read_payloads(spark, folder, lines=True)))
+    lists = batches.nested_results(found).select(
+        "batch_job_name", "n_results",
+        F.array_join(F.array_sort(F.transform("results", lambda r: F.concat(r["custom_id"], F.lit(":"), F.coalesce(
+            F.get_json_object(r["data"], "$.vendor_name"), F.lit("failed"))))), ",").alias("results"),
+    )
+    return batches.batch_status(headers, found).select(
+        "batch_job_name", "state", "total_items", "completed_items", "failed_items"
+    ).join(lists, "batch_job_name", "left")
+
+
 @query
 def stream_open_requests(spark, sf_dir):
     path = new_work_path(spark, "requests")

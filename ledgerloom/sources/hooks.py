@@ -6,9 +6,13 @@ row. What an engine raises becomes data in the row's ``failure``.
 
 from __future__ import annotations
 
+import threading
+import time
 from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 # Binary content and kind in, the texts of the pages out.
@@ -42,11 +46,16 @@ def run_text_extractor(documents: DataFrame, factory: Callable[[], TextExtractor
 
 
 def run_model(texts: DataFrame, factory: Callable[[], ModelCall], prompts: dict[str, str],
-              calls_in_flight: int | None = None, keys: tuple[str, ...] = ("doc_key",)) -> DataFrame:
+              calls_in_flight: int | None = None, keys: tuple[str, ...] = ("doc_key",),
+              calls_per_task: int = 1, clock: Callable[[], float] = time.time) -> DataFrame:
     """Model replies for ``keys``, ``country`` and ``character_stored``.
 
     ``calls_in_flight`` spreads the rows over that many partitions, which
-    bounds the calls running at once.
+    bounds the calls running at once; ``calls_per_task`` lets each task have
+    several calls under way, for models that may be called from threads.
+    ``finished_at`` is the ``clock``'s reading when a call ended, and ``seq``
+    orders calls that ended at the same reading: task first, then the order in
+    which the task's calls ended.
     """
     rows = texts.select(*keys, "country", "character_stored")
     if calls_in_flight is not None:
@@ -55,25 +64,40 @@ def run_model(texts: DataFrame, factory: Callable[[], ModelCall], prompts: dict[
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         call = factory()
-        for batch in batches:
-            replies = []
-            for country, text in zip(batch.country, batch.character_stored):
-                try:
-                    status, body = call(prompts.get(country, ""), text, country)
-                    replies.append((status, body, None))
-                except ConnectionError:
-                    replies.append((None, None, "connect"))
-                except TimeoutError:
-                    replies.append((None, None, "timeout"))
-                except Exception as exc:
-                    replies.append((None, None, str(exc) or type(exc).__name__))
-            found = pd.DataFrame(replies, columns=["http_status", "body", "failure"])
-            found["http_status"] = found["http_status"].astype("Int32")
-            yield pd.concat(
-                [batch[[*keys, "country"]].reset_index(drop=True), found], axis=1
-            )
+        lock = threading.Lock()
+        ended = TaskContext.get().partitionId() << 33
+
+        def reply(country: str, text: str) -> tuple:
+            nonlocal ended
+            try:
+                answer = (*call(prompts.get(country, ""), text, country), None)
+            except ConnectionError:
+                answer = (None, None, "connect")
+            except TimeoutError:
+                answer = (None, None, "timeout")
+            except Exception as exc:
+                answer = (None, None, str(exc) or type(exc).__name__)
+            with lock:
+                ended += 1
+                return (*answer, int(clock() * 1_000_000), ended)
+
+        with ThreadPoolExecutor(calls_per_task) as pool:
+            for batch in batches:
+                if calls_per_task == 1:
+                    replies = [reply(c, t) for c, t in zip(batch.country, batch.character_stored)]
+                else:
+                    replies = list(pool.map(reply, batch.country, batch.character_stored))
+                found = pd.DataFrame(replies, columns=["http_status", "body", "failure", "finished_at", "seq"])
+                found["http_status"] = found["http_status"].astype("Int32")
+                found["finished_at"] = pd.to_datetime(found["finished_at"].astype("int64"), unit="us", utc=True)
+                found["seq"] = found["seq"].astype("int64")
+                yield pd.concat(
+                    [batch[[*keys, "country"]].reset_index(drop=True), found], axis=1
+                )
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in key_schema)
     return rows.mapInPandas(
-        run, f"{schema}, country string, http_status int, body string, failure string"
+        run,
+        f"{schema}, country string, http_status int, body string, failure string, "
+        "finished_at timestamp, seq bigint",
     )

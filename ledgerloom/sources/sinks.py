@@ -18,6 +18,14 @@ def write_json(rows: DataFrame, path: str, partition_by: tuple[str, ...] = (),
     rows.write.mode(mode).option("ignoreNullFields", False).partitionBy(*partition_by).json(path)
 
 
+def write_files(rows: DataFrame, path: str, key: str, content: str) -> None:
+    """One file per row below ``key=<value>``, for tools that want files.
+
+    ``content`` may be text or bytes; a line end follows it.
+    """
+    rows.select(key, F.col(content).cast("string").alias("value")).write.partitionBy(key).text(path)
+
+
 def split_errors(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Usable rows and failed rows. Nothing is raised inside a job."""
     return rows.filter(F.col("error").isNull()), rows.filter(F.col("error").isNotNull())

@@ -20,16 +20,18 @@ _KEYS = ("batch_job_name", "item_no", "custom_id")
 
 
 def results_of_items(items: DataFrame, factory: Callable[[], ModelCall],
-                     prompts: dict[str, str]) -> DataFrame:
+                     prompts: dict[str, str], **calling) -> DataFrame:
     """Calls the model for every item and turns the replies into result rows.
 
     Works on batch and streaming tables alike. The country filter stands
-    before the call, so each item is sent once.
+    before the call, so each item is sent once. ``finished_at`` is taken when an
+    item's own call ends, so lists come out in completion order, not in the
+    order of submission. ``calling`` goes to ``run_model``.
     """
     parts = []
     for country in COUNTRIES:
         own = items.filter(F.col("country") == country)
-        replies = run_model(own, factory, prompts, keys=_KEYS)
+        replies = run_model(own, factory, prompts, keys=_KEYS, **calling)
         parts.append(item_results(replies, country))
     # An item of another country fails like any other, so its job still ends.
     country = F.col("country")
@@ -40,21 +42,28 @@ def results_of_items(items: DataFrame, factory: Callable[[], ModelCall],
         F.lit(None).cast("string").alias("data"),
         unknown_country(country)["detail"].alias("error"),
         F.lit(None).cast(parts[0].schema["token_usage"].dataType).alias("token_usage"),
+        F.current_timestamp().alias("finished_at"),
+        F.col("item_no").cast("bigint").alias("seq"),
     )
     for part in parts:
         results = results.unionByName(part)
-    return results.withColumns(
-        {"finished_at": F.current_timestamp(), "seq": F.col("item_no").cast("bigint")}
-    )
+    return results
 
 
 def start_batches(spark: SparkSession, payload_folder: str, results_path: str,
                   checkpoint: str, factory: Callable[[], ModelCall],
-                  prompts: dict[str, str]) -> StreamingQuery:
-    """Processes arriving payload files; stops after those present are done."""
-    items = payload_items(check_payloads(stream_payloads(spark, payload_folder)))
+                  prompts: dict[str, str], files_per_trigger: int | None = None,
+                  lines: bool = False, **calling) -> StreamingQuery:
+    """Processes arriving payload files; stops after those present are done.
+
+    A run that dies goes on from ``checkpoint``: the micro-batch it was in is
+    repeated, and of its results only those of the finished attempt are in the
+    sink's own list of files, so ``results_so_far`` has each item once.
+    """
+    arriving = stream_payloads(spark, payload_folder, lines, files_per_trigger)
+    items = payload_items(check_payloads(arriving))
     return (
-        results_of_items(items, factory, prompts)
+        results_of_items(items, factory, prompts, **calling)
         .writeStream.format("parquet")
         .option("path", results_path)
         .option("checkpointLocation", checkpoint)
@@ -64,6 +73,11 @@ def start_batches(spark: SparkSession, payload_folder: str, results_path: str,
     )
 
 
+def results_so_far(spark: SparkSession, results_path: str) -> DataFrame:
+    """Results of the finished micro-batches, also while a job is still running."""
+    return spark.read.parquet(results_path)
+
+
 def _newest(counts: DataFrame) -> DataFrame:
     """One row per job. Counts only grow, so the largest are the newest."""
     return counts.groupBy("batch_job_name").agg(

@@ -151,3 +151,18 @@ def test_text_extractor_hook(spark):
 def test_pages_are_numbered_from_one(spark):
     frame = spark.createDataFrame([("d", ["x", "y"])], "doc_key string, pages array<string>")
     assert [tuple(r) for r in pages.number_pages(frame).select("page_no", "text").collect()] == [(1, "x"), (2, "y")]
+
+
+def test_oversize_files_are_never_opened(spark, tmp_path):
+    (tmp_path / "small.pdf").write_bytes(b"%PDF-1.7")
+    (tmp_path / "large.pdf").write_bytes(b"%PDF-1.7" + b"x" * (1 << 20))
+    small, oversize = files.split_by_size(files.read_uploads(spark, str(tmp_path)), Limits(max_upload_mb=1))
+    plans = [f._jdf.queryExecution().executedPlan().toString().replace(" ", "") for f in (small, oversize)]
+    assert "LessThanOrEqual(length,1048576)]" in plans[0] and "GreaterThan(length,1048576)]" in plans[1]
+    # Spark fails on reading any content over this length.
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 1 << 20)
+    try:
+        assert [bytes(r.content) for r in small.collect()] == [b"%PDF-1.7"]
+        assert [r.length for r in oversize.collect()] == [(1 << 20) + 8]
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")

@@ -296,3 +296,91 @@ def test_model_hook_keeps_failures_as_rows(spark):
     frame = spark.createDataFrame([(t, "uae", t) for t in ("down", "odd", "fine")], "doc_key string, country string, character_stored string")
     rows = {r.doc_key: (r.http_status, r.body, r.failure) for r in hooks.run_model(frame, factory, {"uae": "p:"}, calls_in_flight=2).collect()}
     assert rows == {"down": (None, None, "connect"), "odd": (None, None, "odd"), "fine": (200, "p:fine", None)}
+
+
+def payload_file(folder, name, texts, country="usa"):
+    body = {"batch_job_name": name, "country": country, "created_at": "2026-01-01T00:00:00Z",
+            "items": [{"id": str(i), "text": t} for i, t in enumerate(texts)]}
+    (folder / f"{name.replace('/', '_')}.json").write_text(json.dumps(body))
+
+
+def test_results_come_in_completion_order(spark, tmp_path):
+    folder = tmp_path / "payloads"
+    folder.mkdir()
+    payload_file(folder, "batches/a", ["0.9", "0.5", "0.0"])
+
+    def factory():
+        import json as js
+        from time import sleep
+
+        def call(prompt, text, country):
+            sleep(float(text))
+            return 200, js.dumps({"message": {"content": "{}"}})
+
+        return call
+
+    items = payloads.payload_items(payloads.check_payloads(payloads.read_payloads(spark, str(folder))))
+    items.write.parquet(str(tmp_path / "items"))
+    results = str(tmp_path / "results")
+    batch_stream.start_batches(spark, str(folder), results, str(tmp_path / "cp"), factory, {}, calls_per_task=3).awaitTermination()
+    at_once = batch_stream.results_of_items(spark.read.parquet(str(tmp_path / "items")), factory, {}, calls_per_task=3)
+    for found in (at_once, batch_stream.results_so_far(spark, results)):
+        assert [r.custom_id for r in batches.nested_results(found).first().results] == ["2", "1", "0"]
+    # Calls that end at the same reading of the clock keep the order in which the task made them.
+    still = hooks.run_model(items.coalesce(1), factory, {}, keys=("item_no",), clock=lambda: 5.0).orderBy("seq").collect()
+    assert [r.item_no for r in still] == [0, 1, 2] and {r.finished_at for r in still} == {datetime(1970, 1, 1, 0, 0, 5)}
+
+
+def test_a_batch_stream_that_dies_goes_on_with_each_item_once(spark, tmp_path):
+    folder, marker = tmp_path / "payloads", str(tmp_path / "died")
+    folder.mkdir()
+    for k, texts in enumerate((["1", "2"], ["3"], ["4", "die", "5"], ["6"])):
+        payload_file(folder, f"batches/{k}", texts)
+        os.utime(folder / f"batches_{k}.json", (1_700_000_000 + k, 1_700_000_000 + k))
+
+    def factory():
+        import json as js
+        import os as system
+
+        class Lost(BaseException):
+            pass
+
+        def call(prompt, text, country):
+            if text == "die" and not system.path.exists(marker):
+                open(marker, "w").close()
+                raise Lost
+            return 200, js.dumps({"message": {"content": js.dumps({"invoice_no": text})}})
+
+        return call
+
+    results, checkpoint = str(tmp_path / "results"), str(tmp_path / "cp")
+    first = batch_stream.start_batches(spark, str(folder), results, checkpoint, factory, {}, files_per_trigger=1)
+    try:
+        first.awaitTermination()
+        raise AssertionError("the first run must die")
+    except Exception:
+        assert os.path.exists(marker)
+    so_far = batch_stream.results_so_far(spark, results).select("batch_job_name", "custom_id").collect()
+    assert sorted(map(tuple, so_far)) == [("batches/0", "0"), ("batches/0", "1"), ("batches/1", "0")]
+    batch_stream.start_batches(spark, str(folder), results, checkpoint, factory, {}, files_per_trigger=1).awaitTermination()
+    whole = batch_stream.results_of_items(
+        payloads.payload_items(payloads.check_payloads(payloads.read_payloads(spark, str(folder)))), factory, {})
+    kept = ["batch_job_name", "item_no", "success", "data"]
+    resumed = sorted(map(tuple, batch_stream.results_so_far(spark, results).select(*kept).collect()))
+    assert len(resumed) == 7 and resumed == sorted(map(tuple, whole.select(*kept).collect()))
+
+
+def test_payload_files_that_are_no_json_are_rejected(spark, tmp_path):
+    payload_file(tmp_path, "batches/good", ["t"])
+    (tmp_path / "cut.json").write_text('{"batch_job_name": "batches/cut", "items": [{"text": "t"}')
+    (tmp_path / "none.json").write_text("no json")
+    checked = payloads.check_payloads(payloads.read_payloads(spark, str(tmp_path)))
+    rows = {r.source.rsplit("/", 1)[1]: (r.batch_job_name, r.total_items, r.error and r.error.detail) for r in checked.collect()}
+    assert rows == {"batches_good.json": ("batches/good", 1, None), "cut.json": (None, 0, "body: JSON decode error"),
+                    "none.json": (None, 0, "body: JSON decode error")}
+    assert [r.batch_job_name for r in payloads.job_headers(checked).collect()] == ["batches/good"]
+    lines = tmp_path / "lines"
+    lines.mkdir()
+    (lines / "a.json").write_text('{"batch_job_name": "x", "items": [{"text": "t"}]}\nno json\n{"batch_job_name": "y", "items": []}\n')
+    found = payloads.check_payloads(payloads.read_payloads(spark, str(lines), lines=True)).collect()
+    assert [(r.batch_job_name, r.error is None) for r in found] == [("x", True), (None, False), ("y", False)]

@@ -52,6 +52,11 @@ def test_printed_dates(spark):
     got = column_of(spark, ["31-01-2026", "19. August 2026", "March 5, 2026", "soon"],
                     dates.normalise_printed_date)
     assert got == ["2026-01-31", "2026-08-19", "2026-03-05", None]
+    # The shapes leave out no text that a spelling accepts.
+    texts = ["2026-1-31", "1-1-2026", "march 5, 2026", "MAY 05, 2026", "5. may 2026", "5-Sep-2026", "5-sept-2026", "05 May 26", "+12026-01-01",
+             "2026-02-30", " 2026-01-31", "2026-01-31 ", "31/01/2026x", "31.01.2026", "", "January 31,2026", "12 Dec. 2026", None]
+    assert column_of(spark, texts, dates.normalise_printed_date) == column_of(
+        spark, texts, lambda c: F.date_format(F.coalesce(*[F.try_to_date(c, f) for f in dates.PRINTED_DATE_FORMATS]), "yyyy-MM-dd"))
 
 
 def test_identifiers(spark):
