@@ -3,18 +3,22 @@
 Numbers, units behind them and names inside sentences become typed slots; all
 other words are compared without case and punctuation. Windows of ``size`` words
 of every benchmark item are hash-joined with those of every document. Matched
-windows of one alignment count only if its slots are consistent, that is if each
-value of the item stands for one value of the document. A document is
-contaminated by an item if it holds ``share`` or more of the item's windows.
+windows of one alignment count only if its slots are consistent in both
+directions, that is if each value of the item stands for one value of the
+document and the other way round. A document is contaminated by an item if it
+holds ``share`` or more of the item's windows, or ``run`` words of it in one
+unbroken alignment.
 
 Before the join a bitmap of fixed size drops document windows that no item has;
 it decides nothing on its own. The item side is broadcast only up to
 ``broadcast_rows`` windows, else both sides are shuffled.
 
 Defined results: null and empty texts match nothing, nor do items with fewer
-than ``size`` words or without a window that has two plain words. Documents and
-items with a null id are left out. Rows of a repeated id are taken together.
-Other columns are ignored.
+than ``size`` words or without a window that has two plain words. The search
+leaves out documents and items with a null id; ``clean`` searches rows without
+an id by a key made of their text. Rows of a repeated id are taken together.
+Other columns are ignored. No documents or no items: no rows found, and
+``clean`` keeps every document.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -132,11 +136,26 @@ def template_windows(
     return texts.mapInArrow(run, schema)
 
 
+def _unsure(pairs: DataFrame, alignment: list[str], of: str, to: str, consistency: float) -> DataFrame:
+    """Alignments in which too few values ``of`` one side keep to their most frequent value ``to`` the other."""
+    return (
+        pairs.groupBy(*alignment, of, to)
+        .agg(F.sum("n").alias("n"))
+        .groupBy(*alignment, of)
+        .agg(F.max("n").alias("most"), F.sum("n").alias("n"))
+        .groupBy(*alignment)
+        .agg(F.sum("most").alias("most"), F.sum("n").alias("n"))
+        .where(F.col("most") < consistency * F.col("n"))
+        .select(*alignment)
+    )
+
+
 def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
     size: int = 5,
     share: float = 0.8,
+    run: int = 13,
     consistency: float = 0.8,
     broadcast_rows: int = 200_000,
     id_column: str = "doc_id",
@@ -144,7 +163,11 @@ def contaminated(
     item_column: str = "item_id",
     item_text_column: str = "text",
 ) -> DataFrame:
-    """One row per document and item it holds: ids, ``matched``, ``item_windows``, ``coverage``, ``reparameterised``."""
+    """One row per document and item it holds.
+
+    Ids, ``matched``, ``item_windows``, ``coverage``, ``reparameterised`` and
+    ``run_words``, the words of the longest unbroken alignment.
+    """
     items = written(template_windows(benchmark, item_column, item_text_column, size), "items").withColumnsRenamed(
         {"id": "item", "pos": "item_pos", "slots": "item_slots"}
     )
@@ -162,32 +185,40 @@ def contaminated(
     windows_of_docs = template_windows(docs, id_column, text_column, size, bitmap.view(np.uint64))
     met = written(
         windows_of_docs.join(F.broadcast(items) if few else items, "w").select(
-            "id", "item", "w", (F.col("pos") - F.col("item_pos")).alias("shift"), "slots", "item_slots"
+            "id", "item", "w", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), "slots", "item_slots"
         ),
         "met",
     )
     alignment = ["id", "item", "shift"]
-    pairs = met.select(
-        *alignment,
-        F.explode(F.filter(F.arrays_zip("item_slots", "slots"), lambda p: p["item_slots"] != 0)).alias("p"),
-    )
-    unsure = (
-        pairs.groupBy(*alignment, "p.item_slots", "p.slots")
+    pairs = (
+        met.select(
+            *alignment,
+            F.explode(F.filter(F.arrays_zip("item_slots", "slots"), lambda p: p["item_slots"] != 0)).alias("p"),
+        )
+        .groupBy(*alignment, F.col("p.item_slots").alias("item_value"), F.col("p.slots").alias("value"))
         .agg(F.count("*").alias("n"))
-        .groupBy(*alignment, "item_slots")
-        .agg(F.max("n").alias("most"), F.sum("n").alias("n"))
-        .groupBy(*alignment)
-        .agg(F.sum("most").alias("most"), F.sum("n").alias("n"))
-        .where(F.col("most") < consistency * F.col("n"))
+    )
+    unsure = _unsure(pairs, alignment, "item_value", "value", consistency).unionByName(
+        _unsure(pairs, alignment, "value", "item_value", consistency)
     )
     counts = items.groupBy("item").agg(F.countDistinct("w").alias("item_windows"))
     changed = F.exists(F.arrays_zip("item_slots", "slots"), lambda p: p["item_slots"] != p["slots"])
+    sure = met.join(unsure, alignment, "left_anti")
+    # Equal differences of position and rank are one unbroken stretch; repeated rows share their rank.
+    rank = F.dense_rank().over(Window.partitionBy(*alignment).orderBy("item_pos"))
+    stretch = Window.partitionBy(*alignment, "stretch")
+    run_words = F.max("item_pos").over(stretch) - F.min("item_pos").over(stretch) + size
     return (
-        met.join(unsure, alignment, "left_anti")
+        sure.withColumn("stretch", F.col("item_pos") - rank)
+        .withColumn("run_words", run_words)
         .groupBy("id", "item")
-        .agg(F.countDistinct("w").alias("matched"), F.max(changed).alias("reparameterised"))
+        .agg(
+            F.countDistinct("w").alias("matched"),
+            F.max("run_words").alias("run_words"),
+            F.max(changed).alias("reparameterised"),
+        )
         .join(counts, "item")
-        .where(F.col("matched") >= share * F.col("item_windows"))
+        .where((F.col("matched") >= share * F.col("item_windows")) | (F.col("run_words") >= run))
         .select(
             F.col("id").alias(id_column),
             F.col("item").alias(item_column),
@@ -195,11 +226,17 @@ def contaminated(
             "item_windows",
             (F.col("matched") / F.col("item_windows")).alias("coverage"),
             "reparameterised",
+            "run_words",
         )
     )
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item."""
-    found = written(contaminated(docs, benchmark).select("doc_id").distinct(), "contaminated")
-    return docs.join(found, "doc_id", "left_anti").select(*[F.col(quoted(c)) for c in docs.columns])
+    key = "clean_key"
+    while key in {c.lower() for c in docs.columns}:
+        key += "_"
+    of_text = F.concat(F.lit("text "), F.sha2(F.coalesce("text", F.lit("")), 256))
+    keyed = docs.withColumn(key, F.coalesce(F.concat(F.lit("id "), F.col("doc_id").cast("string")), of_text))
+    found = written(contaminated(keyed, benchmark, id_column=key).select(key).distinct(), "contaminated")
+    return keyed.join(found, key, "left_anti").select(*[F.col(quoted(c)) for c in docs.columns])

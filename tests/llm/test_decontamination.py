@@ -36,7 +36,15 @@ def plain_windows(text, size=5):
     ]
 
 
-def plain_contaminated(docs, items, share=0.8, consistency=0.8):
+def agrees(values, consistency):
+    """Whether the left values of the pairs keep to one right value each."""
+    most = defaultdict(int)
+    for (a, _), n in values.items():
+        most[a] = max(most[a], n)
+    return sum(most.values()) >= consistency * sum(values.values())
+
+
+def plain_contaminated(docs, items, share=0.8, consistency=0.8, run=13, size=5):
     by_template, sizes = defaultdict(list), {}
     for item, text in items:
         found = plain_windows(text)
@@ -47,16 +55,22 @@ def plain_contaminated(docs, items, share=0.8, consistency=0.8):
     for doc, text in docs:
         for at, w, slots in plain_windows(text):
             for item, item_at, item_slots in by_template.get(w, ()):
-                met[doc, item, at - item_at].append((w, item_slots, slots))
-    matched = defaultdict(set)
+                met[doc, item, at - item_at].append((w, item_slots, slots, item_at))
+    matched, longest = defaultdict(set), defaultdict(int)
     for (doc, item, _), rows in met.items():
-        values = Counter((a, b) for _, x, y in rows for a, b in zip(x, y) if a is not None)
-        most = defaultdict(int)
-        for (a, _), n in values.items():
-            most[a] = max(most[a], n)
-        if sum(most.values()) >= consistency * sum(values.values()):
-            matched[doc, item] |= {w for w, _, _ in rows}
-    return {(d, i, len(w), sizes[i]) for (d, i), w in matched.items() if len(w) >= share * sizes[i]}
+        values = Counter((a, b) for _, x, y, _ in rows for a, b in zip(x, y) if a is not None)
+        turned = Counter({(b, a): n for (a, b), n in values.items()})
+        if agrees(values, consistency) and agrees(turned, consistency):
+            matched[doc, item] |= {w for w, *_ in rows}
+            places = {p for *_, p in rows}
+            for first in places:
+                last = first
+                while last + 1 in places:
+                    last += 1
+                longest[doc, item] = max(longest[doc, item], last - first + size)
+    return {
+        (d, i, len(w), sizes[i]) for (d, i), w in matched.items() if len(w) >= share * sizes[i] or longest[d, i] >= run
+    }
 
 
 def rows_of(df):
@@ -91,7 +105,8 @@ def test_reparameterised_items(spark, docs_of):
     assert got[1].reparameterised and not got[0].reparameterised and got[0].coverage == 1
     left = decontamination.clean(docs, items)
     assert left.columns == docs.columns
-    assert sorted((r.doc_id for r in left.collect()), key=str) == sorted([2, 3, 4, None], key=str)
+    # The row without an id goes, too.
+    assert sorted(r.doc_id for r in left.collect()) == [2, 3, 4]
 
 
 def test_slots_must_agree(spark, docs_of):
@@ -102,6 +117,29 @@ def test_slots_must_agree(spark, docs_of):
     assert [r.doc_id for r in decontamination.contaminated(docs_of([same, torn]), items).collect()] == [0]
 
 
+def test_slots_must_agree_in_both_directions(spark, docs_of):
+    item = "the red box of Anton holds 3 and the blue box of Berta holds 4 and the last box of Carla holds 5 and so on"
+    flat = "the red box of Dora holds 7 and the blue box of Dora holds 7 and the last box of Dora holds 7 and so on"
+    turned = "the red box of Dora holds 7 and the blue box of Emil holds 8 and the last box of Franz holds 9 and so on"
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    found = decontamination.contaminated(docs_of([item, flat, turned]), items).collect()
+    assert {r.doc_id for r in found} == {0, 2} and all(r.coverage == 1 for r in found)
+
+
+def test_an_unbroken_part_of_an_item_counts(spark, docs_of):
+    words = ITEM.split()
+    texts = [" ".join(words[:17]), "so they said: " + " ".join(words[:13]) + " but no more", " ".join(words[:12]), " ".join(words[5:9] * 9)]
+    rows = [*enumerate(texts), (1, AROUND), (None, " ".join(words[3:18])), (None, AROUND), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("Clean_Key", F.lit(1))
+    items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    found = {r.doc_id: r.run_words for r in decontamination.contaminated(docs, items).collect()}
+    assert found == {0: 17, 1: 13}
+    left = decontamination.clean(docs, items)
+    assert left.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted(
+        [(2, texts[2]), (3, texts[3]), (None, AROUND), (None, None)], key=str)
+
+
 def test_empty_tables(spark, docs_of):
     items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
     assert decontamination.contaminated(docs_of([]), items).count() == 0
