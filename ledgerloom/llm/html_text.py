@@ -8,8 +8,10 @@ each block. The tree is trained on the small labelled table in
 ``labelled_pages``.
 
 Defined results: a null or empty page, and one without a kept block, has the
-empty text. Unclosed comments and scripts reach to the end of the page. Null
-ids and repeated rows keep one result row each. Other columns are ignored.
+empty text. Unclosed comments and scripts reach to the end of the page; reading
+takes time in proportion to a page's length, also if no tag is closed. Null ids
+and repeated rows keep one result row each; an empty table has no rows. Other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -46,6 +48,7 @@ _MARKUP = re.compile(
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?][^>]*>",
     re.S | re.I,
 )
+_HIDDEN_TAIL = re.compile(r"(?:<!--|<!\[CDATA\[).*\Z", re.S | re.I)
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small "
     "span strike strong sub sup time tt u var wbr picture source input".split()
@@ -95,6 +98,18 @@ def _opinion(tag: str, attributes: str, inside_for: bool) -> tuple[bool, bool]:
     return against, speaks_for and not against
 
 
+def _closed(found: re.Match) -> bool:
+    """Whether hidden markup that ends at the last bracket of a page has its own end there."""
+    text = found[0]
+    if found[1]:
+        return re.search(rf"</{found[1]}\s*>\Z", text, re.I) is not None
+    if text.startswith("<!--"):
+        return len(text) >= 7 and text.endswith("-->")
+    if text[:9].upper() == "<![CDATA[":
+        return len(text) >= 12 and text.endswith("]]>")
+    return True
+
+
 def blocks(page: str) -> list[tuple[str, int, int, float, bool, bool, str]]:
     """``(text, start, words, link density, against, for, tag)`` of each block in page order."""
     out = []
@@ -104,31 +119,36 @@ def blocks(page: str) -> list[tuple[str, int, int, float, bool, bool, str]]:
     tag, links = "", 0
     pieces: list[str] = []
     linked = start = position = 0
+    filled = hidden_to_end = False
+    # No tag can end behind the last bracket, so unclosed ones are not searched for there.
+    last = page.rfind(">") + 1
 
     def close() -> None:
-        nonlocal pieces, linked
+        nonlocal pieces, linked, filled
         if pieces:
             words = html.unescape("".join(pieces)).split()
             if words:
                 density = min(1.0, linked / len(words))
                 no = against or own[0]
                 out.append((" ".join(words), start, len(words), density, no, (speaks_for or own[1]) and not no, tag))
-        pieces, linked = [], 0
+        pieces, linked, filled = [], 0, False
 
     def add(text: str, at: int) -> None:
-        nonlocal linked, start
-        if not pieces or not "".join(pieces).strip():
+        nonlocal linked, start, filled
+        if not filled:
             start = at
+            filled = bool(text.strip())
         pieces.append(text)
         if links:
             linked += len(text.split())
 
-    for found in _MARKUP.finditer(page):
+    for found in _MARKUP.finditer(page, 0, last):
         if found.start() > position:
             add(page[position : found.start()], position)
         position = found.end()
         name = found[3] or found[6]
         if name is None:
+            hidden_to_end = position == last and not _closed(found)
             continue
         name = name.lower()
         closing = (found[2] if found[3] else found[5]) == "/"
@@ -163,8 +183,8 @@ def blocks(page: str) -> list[tuple[str, int, int, float, bool, bool, str]]:
                 no, yes = _opinion(name, attributes, speaks_for)
                 against, speaks_for = against or no, (speaks_for or yes) and not no
                 stack.append((name, against, speaks_for))
-    if position < len(page):
-        add(page[position:], position)
+    if position < len(page) and not hidden_to_end:
+        add(_HIDDEN_TAIL.sub("", page[position:]), position)
     close()
     return out
 

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,6 +43,16 @@ def test_odd_pages(spark, tree):
     assert html_text.extracted(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_unclosed_tags_take_time_in_proportion():
+    begin = time.perf_counter()
+    for part in ("<a ", "<script ", "<!--", "<a '", "x <b>y</b> "):
+        html_text.blocks(part * (1_000_000 // len(part)))
+    assert time.perf_counter() - begin < 10
+    assert [b[0] for b in html_text.blocks("<p>a</p>b <!-- c <p")] == ["a", "b"]
+    assert [b[0] for b in html_text.blocks("<p>a</p><script>b</i> c")] == ["a"]
+    assert [b[0] for b in html_text.blocks("<p>a</p><script>b</script> c <i")] == ["a", "c <i"]
+
+
 def test_whole_table(spark, sf, tree):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     want = sorted((r.page_id, r.url, html_text.main_text(r.html or "", tree)) for r in pages.collect())
