@@ -207,7 +207,7 @@ def block_features(found: list[tuple]) -> np.ndarray:
     return x
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 3) -> list | float:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 9, least: int = 3) -> list | float:
     """A decision tree by Gini impurity: ``[feature, threshold, low, high]`` or the share of 1 in a leaf."""
     if depth == 0 or len(y) < 2 * least or y.min() == y.max():
         return float(y.mean())
@@ -294,7 +294,7 @@ _LABELLED = """
 -<body><div><a href="/1">{2}</a> <a href="/2">{1}</a> {1}</div>
 +<div>{24}</div><div>{6}</div><div>{41}</div><div>{3}</div><div>{17}</div>
 =
-+<body><h1>{3}</h1>{30}<p>{4}</p><p>{9}</p>
++<body><h1>{3}</h1>{30}<p>{4}</p><p>{29}</p>
 =
 -<body><aside>{14}</aside><div class="promo"><p>{20}</p></div>
 +<main><section><h2>{3}</h2><p>{2}</p></section><section><h2>{2}</h2><ul><li>{1}</li><li>{4} <a href="/k">{1}</a></li></ul><p>{7}</p></section></main>
@@ -302,6 +302,26 @@ _LABELLED = """
 -<body><footer><p>{9}</p></footer>
 +<article><h2>{2}</h2><p><a href="/s">{3}</a></p><p>{14}</p><p>{1}</p></article>
 -<div class="notice">{12}</div>
+=
+-<body><div>{4}</div><div>{7}</div><div><a href="/1">{2}</a></div><div><a href="/2">{3}</a></div>
++<div>{5}</div><div>{35}</div><div>{52}</div><div>{4}</div><div>{41}</div><div>{9}</div><div>{28}</div>
+-<div>{9}</div><div>{3}</div><div>{8}</div></body>
+=
+-<body><p>{6}</p><p><a href="/1">{2}</a></p>
++<h1>{6}</h1><p>{30}</p><p>{7}</p><p>{55}</p><ul><li>{3}</li><li>{5}</li><li>{2}</li></ul><p>{38}</p>
+-<p>{8}</p><p>{3}</p><p>{9}</p></body>
+=
+-<body><div>{2}</div><div>{9}</div><div>{3}</div>
++<h2>{5}</h2><div>{60}</div><div>{24}</div><div>{2}</div><div>{47}</div><div>{33}</div>
+-<div>{6}</div><div>{2}</div><div>{9}</div><div>{4}</div></body>
+=
+-<body><p>{3}</p><p>{8}</p>
++<h1>{4}</h1><p>{26}</p><h2>{3}</h2><p>{44}</p><table><tr><td>{2}</td><td>{1}</td></tr><tr><td>{3}</td><td>{2}</td></tr></table><p>{31}</p>
+-<p>{7}</p><p>{5}</p><p><a href="/1">{2}</a></p></body>
+=
++<body><p>{6}</p></body>
+=
++<body><div>{9}</div></body>
 """
 
 

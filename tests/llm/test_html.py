@@ -28,6 +28,51 @@ def test_article_alone_stays(tree):
     assert html_text.main_text(page, tree) == "\n".join(want)
 
 
+#: Pages of plain elements, written and marked by hand: a plus before each block of the article.
+PLAIN = [
+    """-<div>Harbour Weekly</div>
+-<div>Today is Friday and the tide is low</div>
+-<div><a href="/">Home</a> <a href="/f">Fishing</a> <a href="/w">Weather</a></div>
++<h1>Old pier opens again</h1>
++<div>After four years of work the old pier on the north side of the harbour opened again on Saturday morning, and more than two hundred people came.</div>
++<div>The pier had been closed since a storm broke nine of its posts; the town first wanted to pull it down, but a group of neighbours asked for time.</div>
++<div>They got it.</div>
++<div>Over two winters they found the money for new posts, and a yard in the next bay gave the timber for the deck without asking a price for it.</div>
++<div>Boats may land there from next week on, and the first ferry to the island is to leave at half past eight in the morning every day.</div>
+-<div>Please log in to see more of this site</div>
+-<div>Sign up now</div>
+-<div>All rights reserved by the owner of the site</div>""",
+    """-<p>You are not signed in</p>
+-<p><a href="/a">Recipes</a> | <a href="/b">Shops</a></p>
++<h1>Bread without kneading</h1>
++<p>This bread needs almost no work, only time: mix the dough in the evening, let it stand in a cool place over night and bake it before lunch.</p>
++<p>You need the following for one loaf of about a pound, and a heavy pot with a lid that may go into a very hot oven for an hour.</p>
++<ul><li>three cups of flour</li>
++<li>a little yeast</li>
++<li>salt</li></ul>
++<p>Stir everything with a cup and a half of water until no dry flour is left, cover the bowl, and do not touch it again until the next morning.</p>
++<p>Heat the pot in the oven, turn the dough into it, put on the lid and bake it for thirty minutes, then for fifteen more without the lid.</p>
+-<p>Tell a friend about this page</p>
+-<p>Print version</p>
+-<p>Our shop is closed on Sundays</p>""",
+]
+
+
+@pytest.mark.parametrize("marked", PLAIN)
+def test_neighbours_decide_where_nothing_is_announced(tree, marked):
+    lines = marked.split("\n")
+    page = "<html><body>" + "\n".join(line[1:] for line in lines) + "</body></html>"
+    want = [b[0] for line in lines if line[0] == "+" for b in html_text.blocks(line[1:])]
+    assert html_text.main_text(page, tree).split("\n") == want
+
+
+def test_tree_uses_words_and_neighbours(tree):
+    def used(node):
+        return {html_text.FEATURES[node[0]], *used(node[2]), *used(node[3])} if isinstance(node, list) else set()
+
+    assert used(tree) >= {"words", "link_density", "words_before", "words_after"}
+
+
 def test_odd_pages(spark, tree):
     long = "<article>" + "<p>" + "word " * 40 + "</p>" + ("<p>" + "more words of text here " * 8 + "</p>") * 5000 + "</article>"
     pages = [None, "", "<", "<!-- open", "<script>never closed", "</div></p>", "<p", "&#0;&bogus;", long, long]
