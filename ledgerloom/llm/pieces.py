@@ -1,9 +1,10 @@
-"""Token ids and token counts by public tokenizers, encoding each distinct piece once.
+"""Token ids and token counts by public tokenizers.
 
-Texts of Latin characters are cut into the pieces that the tokenizer itself
-would give its model; a Python worker sends every distinct piece to the model
-once and remembers the result. All other texts go to the whole tokenizer, cut
-at boundaries no token can cross, in batches of about equal bytes.
+Texts go to the tokenizer in batches of about equal bytes, long ones cut at
+boundaries no token can cross. ``TokenCounter`` sends all texts that way. For
+``WordEncoder``, texts of Latin characters are cut into the pieces that the
+tokenizer itself would give its model; a Python worker sends every distinct
+piece to the model once and remembers the result.
 """
 
 from __future__ import annotations
@@ -28,7 +29,9 @@ _LATIN = re.compile(r"[\x00-\x1b\x20-įı-ſ]*")
 # Letters and numbers among them.
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ſ"
 _NUMBERS = "0-9²³¹¼-¾"
-_SAFE = re.compile(r"[A-Za-z] (?=[A-Za-z])")
+# Letters of other scripts that all versions of Unicode know as such and no normal form changes.
+_OLD_LETTERS = "A-Za-zα-ωА-яא-תء-غف-يअ-हก-ฮぁ-ゖァ-ヺ一-龥가-힣"
+_SAFE = re.compile(rf"[{_OLD_LETTERS}](?= [{_OLD_LETTERS}])|[ぁ-ゖァ-ヺ一-龥](?=[、。，！？；：])")
 # Characters that stand for bytes in the vocabularies: printable ones for
 # themselves, all others for code points from 256 on.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -50,11 +53,11 @@ def tokenizer(path: str):
 
 
 def balanced(texts: Iterable[str], max_bytes: int = BATCH_BYTES) -> Iterator[list[str]]:
-    """Lists of texts with about equal bytes."""
+    """Lists of texts with about equal bytes of UTF-8."""
     batch, size = [], 0
     for text in texts:
         batch.append(text)
-        size += len(text) + 16
+        size += 16 + (len(text) if text.isascii() else len(text.encode()))
         if size >= max_bytes:
             yield batch
             batch, size = [], 0
@@ -63,22 +66,46 @@ def balanced(texts: Iterable[str], max_bytes: int = BATCH_BYTES) -> Iterator[lis
 
 
 def parts(text: str, max_chars: int) -> Iterator[str]:
-    """Parts of about ``max_chars``, cut before a space between two ASCII letters.
+    """Parts of about ``max_chars``, cut before a space between two letters or between a CJK letter and a stop.
 
     There a new token starts, whatever surrounds it: the space belongs to the
-    word that follows or to none, and no special token holds one.
+    word that follows or to none, a run of letters ends at a stop, and no
+    special token holds either.
     """
     begin = 0
     while len(text) - begin > max_chars:
         found = _SAFE.search(text, begin + max_chars)
         if found is None:
             break
-        cut = found.start() + 1
+        cut = found.end()
         yield text[begin:cut]
         begin = cut
     yield text[begin:] if begin else text
 
 
+def encoded(model, texts: Iterable[tuple[int, str]], part_chars: int) -> Iterator[tuple[int, list]]:
+    """Numbers of texts with the encoding of each of their parts, in order."""
+    held = [(k, part) for k, text in texts for part in parts(text, part_chars)]
+    found = (
+        e for batch in balanced(part for _, part in held) for e in model.encode_batch_fast(batch, add_special_tokens=False)
+    )
+    yield from zip((k for k, _ in held), found, strict=True)
+
+
+class TokenCounter:
+    """Number of tokens by any tokenizer file."""
+
+    def __init__(self, path: str, part_chars: int = 1 << 16):
+        self.tokenizer = tokenizer(path)
+        self.part_chars = part_chars
+
+    def count(self, texts: list[str]) -> list[int]:
+        counts = [0] * len(texts)
+        for k, e in encoded(self.tokenizer, enumerate(texts), self.part_chars):
+            counts[k] += len(e)
+        return counts
+
+
 class _Memory(dict):
     """Results by piece, made when first asked for."""
 
@@ -93,82 +120,11 @@ class _Memory(dict):
         return made
 
 
-class _Pieces:
-    """Cuts texts into pieces and encodes those; subclasses say how."""
-
-    def __init__(self, path: str, part_chars: int = 1 << 16):
-        self.tokenizer = tokenizer(path)
-        self.part_chars = part_chars
-        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        settings = json.loads(self.tokenizer.to_str())
-        self.can_cut = settings["model"]["type"] == "BPE" and self._known_steps(settings)
-        self.known = _Memory(self._piece)
-
-    def _known_steps(self, settings: dict) -> bool:
-        """Whether ``_cut`` stands for the steps before the model."""
-        raise NotImplementedError
-
-    def _cut(self, text: str) -> list[str]:
-        raise NotImplementedError
-
-    def _keep(self, ids: list[int]):
-        """What is kept of the ids of a piece or part."""
-        raise NotImplementedError
-
-    def _piece(self, piece: str):
-        named = piece if piece.isascii() and piece.isalpha() else piece.encode().decode("latin-1").translate(_BYTE_NAMES)
-        return self._keep([token.id for token in self.tokenizer.model.tokenize(named)])
-
-    def results(self, texts: list[str]) -> list[list]:
-        """For each text the kept results of its pieces or parts in order."""
-        if len(self.known) > MEMORY:
-            self.known = _Memory(self._piece)
-        recall = self.known.__getitem__
-        found: list = [None] * len(texts)
-        others: list[tuple[int, str]] = []
-        for k, text in enumerate(texts):
-            if self.can_cut and _LATIN.fullmatch(text) and not any(s in text for s in self.specials):
-                found[k] = list(map(recall, self._cut(text)))
-            else:
-                found[k] = []
-                others.extend((k, part) for part in parts(text, self.part_chars))
-        encoded = (
-            e for batch in balanced(p for _, p in others)
-            for e in self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)
-        )
-        for (k, _), e in zip(others, encoded, strict=True):
-            found[k].append(self._keep(e.ids))
-        return found
-
-
-class TokenCounter(_Pieces):
-    """Number of tokens by a byte-level tokenizer whose words hold the space before them."""
+def _words32(ids: Iterable[int]) -> bytes:
+    return array("I", ids).tobytes()
 
-    # How the byte-level pre-tokenizer groups characters.
-    _PIECE = re.compile(
-        rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^\s{_LETTERS}{_NUMBERS}]+|\s+(?!\S)|\s+"
-    )
 
-    def _known_steps(self, settings: dict) -> bool:
-        step = settings["pre_tokenizer"] or {}
-        return (
-            settings["normalizer"] is None
-            and step.get("type") == "ByteLevel"
-            and step.get("use_regex") is True
-            and step.get("add_prefix_space") is False
-        )
-
-    def _cut(self, text: str) -> list[str]:
-        return self._PIECE.findall(text)
-
-    def _keep(self, ids: list[int]) -> int:
-        return len(ids)
-
-    def count(self, texts: list[str]) -> list[int]:
-        return [sum(found) for found in self.results(texts)]
-
-
-class WordEncoder(_Pieces):
+class WordEncoder:
     """Ids, as little-endian 32-bit bytes, by a tokenizer that lower-cases and drops white space."""
 
     # The pieces that the tokenizer's own pattern keeps.
@@ -177,7 +133,16 @@ class WordEncoder(_Pieces):
         rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+"
     )
 
+    def __init__(self, path: str, part_chars: int = 1 << 16):
+        self.tokenizer = tokenizer(path)
+        self.part_chars = part_chars
+        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        settings = json.loads(self.tokenizer.to_str())
+        self.can_cut = settings["model"]["type"] == "BPE" and self._known_steps(settings)
+        self.known = _Memory(self._piece)
+
     def _known_steps(self, settings: dict) -> bool:
+        """Whether ``_PIECE`` stands for the steps before the model."""
         kinds = [n["type"] for n in (settings["normalizer"] or {}).get("normalizers", [])]
         steps = (settings["pre_tokenizer"] or {}).get("pretokenizers", [])
         if kinds != ["NFC", "Replace", "Lowercase"] or [s["type"] for s in steps] != ["Split", "ByteLevel"]:
@@ -191,11 +156,22 @@ class WordEncoder(_Pieces):
             and not level["add_prefix_space"]
         )
 
-    def _cut(self, text: str) -> list[str]:
-        return self._PIECE.findall(text.lower())
-
-    def _keep(self, ids: list[int]) -> bytes:
-        return array("I", ids).tobytes()
+    def _piece(self, piece: str) -> bytes:
+        named = piece if piece.isascii() and piece.isalpha() else piece.encode().decode("latin-1").translate(_BYTE_NAMES)
+        return _words32(token.id for token in self.tokenizer.model.tokenize(named))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return [b"".join(found) for found in self.results(texts)]
+        if len(self.known) > MEMORY:
+            self.known = _Memory(self._piece)
+        recall = self.known.__getitem__
+        found: list = [None] * len(texts)
+        others: list[tuple[int, str]] = []
+        for k, text in enumerate(texts):
+            if self.can_cut and _LATIN.fullmatch(text) and not any(s in text for s in self.specials):
+                found[k] = list(map(recall, self._PIECE.findall(text.lower())))
+            else:
+                found[k] = []
+                others.append((k, text))
+        for k, e in encoded(self.tokenizer, others, self.part_chars):
+            found[k].append(_words32(e.ids))
+        return [b"".join(f) for f in found]

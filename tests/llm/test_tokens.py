@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ledgerloom.llm import packing, token_counts
-from ledgerloom.llm.pieces import TokenCounter, WordEncoder, parts
+from ledgerloom.llm.pieces import BATCH_BYTES, TokenCounter, WordEncoder, balanced, parts
 
 BYTES, WORDS = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
 ALPHABET = list("ab ZÉß'stlld  \n\t\r\x0b\x0c\x1c\x1f\x85\xa0 12!#.,ΣςİıéÅ中文字🙂́ 　_²½") + [
@@ -35,6 +35,19 @@ def test_parts_join_to_the_text():
         assert "".join(parts(text, 5)) == text
 
 
+def test_long_texts_of_other_scripts_are_cut_and_batches_are_of_equal_bytes():
+    scripts = ["中文字。你好，世界！", "привет мир и все ", "שלום עולם טוב ", "สวัสดี ครับ ", "안녕 하세요 여러분 ", "नमस्ते दुनिया के लोग "]
+    byte, word = Tokenizer.from_file(BYTES), Tokenizer.from_file(WORDS)
+    for text in [*(s * 2_000 for s in scripts), "".join(random.Random(5).choices(scripts, k=2_000))]:
+        cut = list(parts(text, 1 << 12))
+        assert "".join(cut) == text and max(map(len, cut)) < 5000
+        assert TokenCounter(BYTES, 1 << 12).count([text]) == [len(byte.encode(text, add_special_tokens=False))]
+        ids = np.frombuffer(WordEncoder(WORDS, 1 << 12).encode([text])[0], "<u4")
+        assert ids.tolist() == word.encode(text, add_special_tokens=False).ids
+    sizes = [sum(len(t.encode()) for t in batch) for batch in balanced(["字" * 1000] * 1000)]
+    assert sum(sizes) == 3_000_000 and max(sizes) <= BATCH_BYTES + 3000
+
+
 def test_token_counts(docs_of):
     texts = [None, "", "a b", "a b", "é <|endoftext|>", "word " * 40_000, " ".join(random_texts(500, 3))]
     docs = docs_of([*texts, (None, "x y")]).withColumn("n_tokens", F.lit("clash"))
