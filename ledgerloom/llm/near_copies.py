@@ -4,7 +4,10 @@ Candidates come from a long SimHash: ``4 * 64`` bits over the set of a text's
 shingles. At similarity 0.8 about 39 of 256 bits differ (48 in very short
 texts), so ``MAX_BITS`` leaves room. The code is read from ``TURNS`` starting
 bits; in each reading, codes in Gray order form contiguous groups by their
-leading bits, twelve at most, and all members of a group are compared. A pair at
+leading bits, twelve at most. The members of a group are searched through the
+hierarchical index of ``simhash``: sorted by Gray rank of the reading, under
+nodes that hold the bits that all members below share, and nodes whose shared
+bits differ in more than ``MAX_BITS`` places are pruned. A pair at
 similarity 0.8 shares the leading bits of some reading with a chance of 0.99.
 
 Similarity is checked on the whole sets. The first pass checks a spanning forest
@@ -33,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import slices, written
-from ledgerloom.llm.simhash import _Forest, components, keep_first
+from ledgerloom.llm.simhash import GrayIndex, _Forest, components, keep_first
 from ledgerloom.llm.wordhash import bitmap, mix, text_bytes, windows, words_of
 
 SHINGLE = 5
@@ -124,14 +127,24 @@ def _sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     return rows.mapInArrow(compute, "key long, set array<long>").dropDuplicates(["key"])
 
 
-def _leading(codes: np.ndarray, turn: int, bits: int) -> np.ndarray:
-    """The first ``bits`` of each code from the turn's starting bit."""
+def _turned_word(codes: np.ndarray, turn: int, w: int) -> np.ndarray:
+    """Word ``w`` of each code read from the turn's starting bit."""
     at = turn * (64 * _WORDS // TURNS)
-    word, shift = codes[:, at // 64], np.uint64(at % 64)
+    word, shift = codes[:, (at // 64 + w) % _WORDS], np.uint64(at % 64)
     if shift:
-        further = codes[:, (at // 64 + 1) % _WORDS]
+        further = codes[:, (at // 64 + w + 1) % _WORDS]
         word = (word << shift) | (further >> (np.uint64(64) - shift))
-    return word >> np.uint64(64 - bits)
+    return word
+
+
+def turned(codes: np.ndarray, turn: int) -> np.ndarray:
+    """Whole codes as read from the turn's starting bit."""
+    return np.stack([_turned_word(codes, turn, w) for w in range(_WORDS)], axis=1)
+
+
+def _leading(codes: np.ndarray, turn: int, bits: int) -> np.ndarray:
+    """The first ``bits`` of each code from the turn's starting bit."""
+    return _turned_word(codes, turn, 0) >> np.uint64(64 - bits)
 
 
 def sketches(sets: DataFrame) -> DataFrame:
@@ -199,17 +212,6 @@ def _within_reach(sketch: list[bytes | None], a: np.ndarray, b: np.ndarray) -> n
 
 
 def _compare(every: bool, bits: int, block: int = 1 << 20):
-    def pairs(codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        n = len(codes)
-        step = max(1, block // n)
-        for low in range(0, n, step):
-            differing = np.zeros((min(step, n - low), n), np.uint16)
-            for w in range(_WORDS):
-                differing += np.bitwise_count(codes[low : low + step, w, None] ^ codes[None, :, w])
-            a, b = np.nonzero(differing <= MAX_BITS)
-            above = a + low < b
-            yield a[above] + low, b[above]
-
     def left_apart(a, b, codes, labels, sketch, turn) -> np.ndarray:
         kept = np.flatnonzero(labels[a] != labels[b])
         for low in range(0, len(kept), block // 64):
@@ -231,7 +233,7 @@ def _compare(every: bool, bits: int, block: int = 1 << 20):
                 sketch = members.field("sketch").to_pylist()
                 codes = np.frombuffer(b"".join(members.field("code").to_pylist()), np.uint64).reshape(-1, _WORDS)
                 forest = _Forest(len(keys))
-                for a, b in pairs(codes):
+                for a, b in GrayIndex(turned(codes, turn)).pairs(MAX_BITS):
                     for kept in left_apart(a, b, codes, labels, sketch, turn) if every else [forest.joining(a, b)]:
                         if len(kept):
                             x, y = keys[a[kept]], keys[b[kept]]

@@ -90,27 +90,56 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
     return rank
 
 
+def gray_order(codes: np.ndarray) -> np.ndarray:
+    """Numbers of the codes in Gray order; a code may be a row of several words, the leading one first."""
+    if codes.ndim == 1:
+        return np.argsort(gray_rank(codes))
+    ranks = []
+    odd = np.zeros(len(codes), np.uint64)
+    for word in codes.T:
+        # A word behind an odd number of ones runs backwards.
+        ranks.append(gray_rank(word) ^ (np.uint64(0) - odd))
+        odd ^= np.bitwise_count(word).astype(np.uint64) & np.uint64(1)
+    return np.lexsort(ranks[::-1])
+
+
+def _ones(bits: np.ndarray, words: int) -> np.ndarray:
+    count = np.bitwise_count(bits)
+    return count if words == 1 else count.reshape(-1, words).sum(axis=1, dtype=np.uint16)
+
+
 class GrayIndex:
-    """Fingerprints in Gray order under nodes that hold the bits their members share."""
+    """Fingerprints in Gray order under nodes that hold the bits their members share.
+
+    A fingerprint is one 64-bit word or a row of several.
+    """
 
     def __init__(self, codes: np.ndarray, fan_out: int = 16):
-        self.codes = codes[np.argsort(gray_rank(codes))]
+        #: Number that each member had in ``codes``.
+        self.order = gray_order(codes)
+        self.codes = codes[self.order]
+        self.words = 1 if codes.ndim == 1 else codes.shape[1]
         self.fan_out = fan_out
         #: From the leaves upwards: bits shared by all members, and their values.
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []
         ones, any_ = self.codes, self.codes
         while len(ones) > 1:
             at = np.arange(0, len(ones), fan_out)
-            ones, any_ = np.bitwise_and.reduceat(ones, at), np.bitwise_or.reduceat(any_, at)
+            ones, any_ = np.bitwise_and.reduceat(ones, at, axis=0), np.bitwise_or.reduceat(any_, at, axis=0)
             self.levels.append((~(ones ^ any_), ones))
 
-    def search(self, queries: np.ndarray, max_bits: int, block: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of (query number, member number) at ``max_bits`` or fewer differing bits, in blocks."""
+    def search(
+        self, queries: np.ndarray, max_bits: int, block: int = 1 << 20, later: bool = False
+    ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of (query number, member number) at ``max_bits`` or fewer differing bits, in blocks.
+
+        With ``later``, query ``k`` meets only members behind number ``k``.
+        """
         if not len(self.codes) or not len(queries):
             return
         top = len(self.levels[-1][0]) if self.levels else 1
         stack = []
-        step = max(1, block // self.fan_out)
+        step = max(1, block // self.fan_out // self.words)
         for low in range(0, len(queries), step):
             q = np.arange(low, min(len(queries), low + step))
             stack.append((len(self.levels) - 1, np.repeat(q, top), np.tile(np.arange(top), len(q))))
@@ -118,7 +147,7 @@ class GrayIndex:
             level, q, node = stack.pop()
             if level >= 0:
                 shared, value = self.levels[level]
-                near = np.bitwise_count((queries[q] ^ value[node]) & shared[node]) <= max_bits
+                near = _ones((queries[q] ^ value[node]) & shared[node], self.words) <= max_bits
                 q, node = q[near], node[near]
                 below = len(self.levels[level - 1][0]) if level else len(self.codes)
                 for low in range(0, len(q), step):
@@ -126,12 +155,21 @@ class GrayIndex:
                     child = (node[part, None] * self.fan_out + np.arange(self.fan_out)).ravel()
                     again = np.repeat(q[part], self.fan_out)
                     there = child < below
+                    if later:
+                        there &= (child + 1) * self.fan_out**level - 1 > again
                     stack.append((level - 1, again[there], child[there]))
             else:
-                near = np.bitwise_count(queries[q] ^ self.codes[node]) <= max_bits
+                near = _ones(queries[q] ^ self.codes[node], self.words) <= max_bits
+                if later:
+                    near &= node > q
                 if near.any():
                     yield q[near], node[near]
 
+    def pairs(self, max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of members at ``max_bits`` or fewer differing bits, once each, by their numbers in the codes given."""
+        for a, b in self.search(self.codes, max_bits, later=True):
+            yield self.order[a], self.order[b]
+
 
 class _Forest:
     """Keeps the links that join what was apart."""

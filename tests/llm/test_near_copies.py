@@ -1,9 +1,12 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ledgerloom.llm import near_copies
+from ledgerloom.llm.simhash import GrayIndex, gray_order
 
 
 def plain_set(text):
@@ -105,3 +108,49 @@ def test_sketches_never_rule_out_similar_sets():
             other = np.concatenate([shared, rng.integers(0, 1 << 63, size - len(shared), dtype=np.uint64)])
             made = [np.int64(len(x)).tobytes() + bitmap(x, near_copies._BITS) for x in (shared, other)]
             assert near_copies._within_reach(made, np.array([0]), np.array([1])).all()
+
+
+def wide_codes(n, seed=3):
+    """Half of the codes lie around one of them, the others anywhere."""
+    rng = np.random.default_rng(seed)
+    codes = rng.integers(0, 2**64, (n, 4), dtype=np.uint64)
+    flips = np.packbits(rng.random((n // 2, 256)) < 0.12, axis=1).view(np.uint64)
+    codes[: n // 2] = codes[0] ^ flips
+    return codes
+
+
+def test_wide_codes_are_found_through_the_gray_index():
+    codes = wide_codes(301)
+    apart = sum(np.bitwise_count(codes[:, None, w] ^ codes[None, :, w]).astype(int) for w in range(4))
+    want = {(a, b) for a, b in zip(*np.nonzero(apart <= near_copies.MAX_BITS)) if a < b}
+    for turn in (0, 5, 31):
+        index = GrayIndex(near_copies.turned(codes, turn))
+        got = [tuple(sorted(p)) for a, b in index.pairs(near_copies.MAX_BITS) for p in zip(a, b)]
+        assert len(got) == len(set(got)) and set(got) == want
+    # Neighbours in the order differ in one bit of the reflected code, and nodes hold what their members share.
+    small = np.zeros((64, 2), np.uint64)
+    small[:, 0], small[:, 1] = np.arange(64) // 8, (np.arange(64) % 8).astype(np.uint64) << np.uint64(61)
+    steps = small[gray_order(small)]
+    assert (np.bitwise_count(steps[1:] ^ steps[:-1]).sum(axis=1) == 1).all()
+    shared, value = index.levels[0]
+    for node, members in enumerate(np.split(index.codes, range(16, 301, 16))):
+        assert ((members & shared[node]) == value[node] & shared[node]).all()
+
+
+def test_groups_are_compared_through_the_index(monkeypatch):
+    codes = wide_codes(40)
+    asked = []
+
+    class Counted(GrayIndex):
+        def pairs(self, max_bits):
+            asked.append((len(self.codes), max_bits))
+            return super().pairs(max_bits)
+
+    monkeypatch.setattr(near_copies, "GrayIndex", Counted)
+    members = pa.array(
+        [[{"key": k, "code": c.tobytes(), "label": k, "sketch": None} for k, c in enumerate(codes)]],
+        pa.list_(pa.struct([("key", pa.int64()), ("code", pa.binary()), ("label", pa.int64()), ("sketch", pa.binary())])),
+    )
+    batch = pa.RecordBatch.from_arrays([members, pa.array([3])], names=["members", "turn"])
+    found = [b.num_rows for b in near_copies._compare(False, 12)(iter([batch]))]
+    assert asked == [(40, near_copies.MAX_BITS)] and sum(found) >= 15
