@@ -1,10 +1,13 @@
 """What shows only on larger tables: large keys, many files, long batches."""
 
+import os
+
 import duckdb
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_point
 from ledgerloom.functions.money import clean_money, to_json_number
+from ledgerloom.sources import files, sinks
 from tests.test_queries import SF_DIR, ordered
 
 
@@ -28,3 +31,27 @@ def test_strict_amounts_of_large_users_match_the_sql(spark, tmp_path):
 def test_commas_are_dropped_wherever_they_stand(spark):
     frame = spark.createDataFrame([("AED 1,1000.50",), ("AED 2,000.50",)], "text string")
     assert [r[0] for r in frame.select(to_json_number(clean_money(F.col("text")))).collect()] == [11000.5, 2000.5]
+
+
+def test_files_of_many_rows_need_no_folder_each(spark, tmp_path):
+    rows = spark.range(0, 200, 1, 4).selectExpr("id as doc_id", "encode('text ' || id, 'utf-8') as content")
+    odd = spark.createDataFrame([(7, bytearray(b"again")), (None, None), (-1, bytearray(b"\xff\x00"))], "doc_id long, content binary")
+    folder = str(tmp_path / "files")
+    sinks.write_files(rows.unionByName(odd.coalesce(1)), folder, "doc_id", "content")
+    assert len([d for d, _, found in os.walk(folder) if found]) <= 5
+    # What a task has left that died, or that came second, is not read.
+    (tmp_path / "files" / "_part-00000-9").mkdir()
+    (tmp_path / "files" / "_part-00000-9" / "00000000-doc_id=5").write_bytes(b"half")
+    late = rows.where("doc_id < 50").coalesce(1).select(F.col("doc_id").cast("string"), "content")
+    assert late.mapInArrow(sinks._saving(folder, "doc_id"), "made long").first().made == 50
+    found = files.read_uploads(spark, folder).select(F.regexp_extract("path", "doc_id=(.*)$", 1).alias("k"), "content")
+    got = sorted((r.k, bytes(r.content)) for r in found.collect())
+    more = [("7", b"again\n"), ("null", b"\n"), ("-1", b"\xff\x00\n")]
+    assert got == sorted([(str(k), b"text %d\n" % k) for k in range(200)] + more)
+    assert not [n for n in os.listdir(folder) if n.startswith("_part") and n != "_part-00000-9"]
+
+
+def test_small_files_share_a_task(spark, tmp_path):
+    rows = spark.range(0, 400, 1, 4).selectExpr("id as doc_id", "'text' as content")
+    sinks.write_files(rows, str(tmp_path / "files"), "doc_id", "content")
+    assert files.read_uploads(spark, str(tmp_path / "files")).rdd.getNumPartitions() <= 12
