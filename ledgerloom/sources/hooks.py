@@ -20,25 +20,35 @@ TextExtractor = Callable[[bytes, str], Iterable[str]]
 # System prompt, text and country in, HTTP status and reply body out.
 ModelCall = Callable[[str, str, str], tuple[int, str]]
 
+#: What a task gathers of results before it hands them on.
+_ROWS_AT_ONCE = 1000
+_CHARS_AT_ONCE = 1 << 20
+_PAGES = ["doc_key", "page_no", "layer", "text", "failure"]
+
 
 def run_text_extractor(documents: DataFrame, factory: Callable[[], TextExtractor]) -> DataFrame:
     """OCR pages of ``(doc_key, kind, content)``.
 
     Pass only documents that need OCR: a condition inside the call would not
-    keep the other rows from it.
+    keep the other rows from it. A task holds one small batch of documents and
+    the pages of about a megabyte, or of one document if that has more.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         extract = factory()
         for batch in batches:
-            rows = []
+            rows, chars = [], 0
             for key, kind, content in zip(batch.doc_key, batch.kind, batch.content):
                 try:
                     texts = list(extract(bytes(content), kind))
                     rows += [(key, n, "ocr", t, None) for n, t in enumerate(texts, start=1)]
+                    chars += sum(len(t) for t in texts if t is not None)
                 except Exception as exc:
                     rows.append((key, 1, "ocr", "", str(exc) or type(exc).__name__))
-            yield pd.DataFrame(rows, columns=["doc_key", "page_no", "layer", "text", "failure"])
+                if chars > _CHARS_AT_ONCE or len(rows) >= _ROWS_AT_ONCE:
+                    yield pd.DataFrame(rows, columns=_PAGES)
+                    rows, chars = [], 0
+            yield pd.DataFrame(rows, columns=_PAGES)
 
     return documents.select("doc_key", "kind", "content").mapInPandas(
         run, "doc_key string, page_no int, layer string, text string, failure string"
@@ -82,7 +92,7 @@ def run_model(texts: DataFrame, factory: Callable[[], ModelCall], prompts: dict[
                 return (*answer, int(clock() * 1_000_000), ended)
 
         with ThreadPoolExecutor(calls_per_task) as pool:
-            for batch in batches:
+            for batch in (b.iloc[low : low + _ROWS_AT_ONCE] for b in batches for low in range(0, len(b), _ROWS_AT_ONCE)):
                 if calls_per_task == 1:
                     replies = [reply(c, t) for c, t in zip(batch.country, batch.character_stored)]
                 else:

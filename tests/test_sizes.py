@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_point
 from ledgerloom.functions.money import clean_money, to_json_number
-from ledgerloom.sources import files, sinks
+from ledgerloom.sources import files, hooks, sinks
 from tests.test_queries import SF_DIR, ordered
 
 
@@ -55,3 +55,29 @@ def test_small_files_share_a_task(spark, tmp_path):
     rows = spark.range(0, 400, 1, 4).selectExpr("id as doc_id", "'text' as content")
     sinks.write_files(rows, str(tmp_path / "files"), "doc_id", "content")
     assert files.read_uploads(spark, str(tmp_path / "files")).rdd.getNumPartitions() <= 12
+
+
+def test_hooks_hand_results_on_in_small_parts(spark):
+    def factory():
+        import resource
+
+        peak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024
+        start = peak()
+        return lambda content, kind: [*content.decode().split("|"), str(peak() - start)]
+
+    texts = spark.range(0, 1500, 1, 1).selectExpr("cast(id as string) as doc_key", "'pdf' as kind",
+                                                  "encode(repeat('x', 50000) || '|' || repeat('y', 50000), 'utf-8') as content")
+    found = hooks.run_text_extractor(texts, factory)
+    whole = found.selectExpr("count(distinct doc_key) as docs", "count(*) as pages", "sum(length(text)) as chars",
+                             "max(if(page_no = 3, cast(text as int), 0)) as grown").first()
+    assert (whole.docs, whole.pages) == (1500, 4500) and whole.chars >= 1500 * 100_000
+    # Megabytes that the task's worker has grown by, for 150 MB of texts.
+    assert whole.grown < 80, whole.grown
+
+
+def test_model_replies_are_whole_over_several_parts(spark):
+    texts = spark.range(0, 2500, 1, 1).selectExpr("cast(id as string) as doc_key", "'uae' as country", "'t' || id as character_stored")
+    for threads in (1, 3):
+        replies = hooks.run_model(texts, lambda: lambda prompt, text, country: (200, text), {}, calls_per_task=threads)
+        rows = replies.selectExpr("count(*) as n", "count_if(body = 't' || doc_key) as same", "count(distinct seq) as seqs").first()
+        assert tuple(rows) == (2500, 2500, 2500)
