@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_point
 from ledgerloom.functions.money import clean_money, to_json_number
+from ledgerloom.plans import queries
 from ledgerloom.sources import files, hooks, sinks
 from tests.test_queries import SF_DIR, ordered
 
@@ -81,3 +82,21 @@ def test_model_replies_are_whole_over_several_parts(spark):
         replies = hooks.run_model(texts, lambda: lambda prompt, text, country: (200, text), {}, calls_per_task=threads)
         rows = replies.selectExpr("count(*) as n", "count_if(body = 't' || doc_key) as same", "count(distinct seq) as seqs").first()
         assert tuple(rows) == (2500, 2500, 2500)
+
+
+def test_payload_files_of_a_stream_grow_in_number_not_in_size(spark, tmp_path, monkeypatch):
+    documents = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    documents.repartition(6).write.parquet(str(tmp_path / "documents.parquet"))
+    made = {}
+
+    def path_of(spark, purpose):
+        made[purpose] = str(tmp_path / purpose)
+        return made[purpose]
+
+    monkeypatch.setattr(queries, "new_work_path", path_of)
+    found, wanted = both_ways(spark, tmp_path, "documents", "stream_batch_results", "true")
+    assert found == wanted and found
+    sizes = [os.path.getsize(f"{made['payloads']}/{n}") for n in os.listdir(made["payloads"]) if n.endswith(".json")]
+    assert len(sizes) >= 18 and max(sizes) < sum(sizes) / 6
+    # Three micro-batches in each of the two runs.
+    assert len([n for n in os.listdir(f"{made['results-checkpoint']}/commits") if n.isdigit()]) == 6
