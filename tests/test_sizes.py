@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_point
 from ledgerloom.functions.money import clean_money, to_json_number
+from ledgerloom.operators import items
 from ledgerloom.plans import queries
 from ledgerloom.sources import files, hooks, sinks
 from tests.test_queries import SF_DIR, ordered
@@ -100,3 +101,20 @@ def test_payload_files_of_a_stream_grow_in_number_not_in_size(spark, tmp_path, m
     assert len(sizes) >= 18 and max(sizes) < sum(sizes) / 6
     # Three micro-batches in each of the two runs.
     assert len([n for n in os.listdir(f"{made['results-checkpoint']}/commits") if n.isdigit()]) == 6
+
+
+def test_gathering_lists_takes_more_tasks_for_more_rows(spark, tmp_path):
+    few = {"spark.sql.shuffle.partitions": "2", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k",
+           "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
+    before = {k: spark.conf.get(k) for k in few}
+    rows = spark.range(0, 60_000, 1, 4).selectExpr("id % 20000 as key", "cast(id as int) as position", "md5(cast(id as string)) as text")
+    try:
+        for name, value in few.items():
+            spark.conf.set(name, value)
+        items.nest(rows, "key", "rows", max_items=10).write.parquet(str(tmp_path / "lists"))
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert len([n for n in os.listdir(tmp_path / "lists") if n.endswith(".parquet")]) > 8
+    lists = spark.read.parquet(str(tmp_path / "lists"))
+    assert lists.selectExpr("count(*)", "min(n_items)", "max(n_items)").first()[:] == (20_000, 3, 3)
